@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, pii, transport, warc
+from . import bpe, decontam, langid, pii, transport, warc
 from ._common import table
 from .near_dedup import near_duplicates
 
@@ -40,10 +40,19 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents")).drop("redacted")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return langid.predict(documents, langid.train(documents))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(table(spark, sf_dir, "pages"))).drop("url", "payload")
 
@@ -52,7 +61,9 @@ QUERIES = {
     "op2_minhash": op2_minhash,
     "op3_transport_stream": op3_transport_stream,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_decontamination": op5_decontamination,
     "op7_pii": op7_pii,
+    "op8_language": op8_language,
     "op9_warc": op9_warc,
 }
 
@@ -73,6 +84,30 @@ u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT r.doc_id, u.b FROM r JOIN u ON r.c = u.a)
 SELECT d.doc_id, CAST(n AS BIGINT) AS n_shingles, min(c) AS component_id, d.doc_id = min(c) AS kept
 FROM d JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id, n
+""",
+    "op5_decontamination": f"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), iw AS (
+  SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i + 12], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM iw WHERE len(w) > 0)
+), pos AS (
+  SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM dw
+), m AS (
+  SELECT DISTINCT doc_id, i, item_id, s.n FROM pos CROSS JOIN (SELECT DISTINCT n FROM win) s
+  JOIN win ON win.n = s.n AND win.g = array_to_string(pos.w[i:i + s.n - 1], ' ')
+  WHERE i + s.n - 1 <= len(pos.w)
+), h AS (
+  SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY 1
+), t AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY 1
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """,
     "op9_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),

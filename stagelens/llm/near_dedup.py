@@ -2,9 +2,10 @@
 
 Every permutation of a document's shingles gives two signature values, its minimum and its maximum, so half as
 many hash evaluations are needed as with minima alone, and the two are an unbiased estimate of lower variance.
-Bands of the signature put documents in buckets; a bucket's members are checked on their full shingle sets, first
-against the bucket's most connected member, then, where that leaves different classes in a bucket, against each
-other unless a bound on the shared shingles rules a link out. No pairs of one class are ever listed.
+Bands of the signature put documents in buckets. A bucket's members are checked on their full shingle sets against
+the bucket's most connected member, its lead. Where that leaves different classes beside a lead, what two members
+share is at most what each shares with the lead, and the shingles outside the lead that both have; only pairs for
+which that bound allows a link are checked. No pairs of one class are ever listed.
 """
 
 from __future__ import annotations
@@ -74,12 +75,51 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), pa.ListArray.from_arrays(ends, np.concatenate(sets).view(np.int64))], names=["doc", "grams"])
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough. AQE splits a side with one common document."""
+def _shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the sizes of their full sets and of what both have. AQE splits a side with one common
+    document."""
     first = sets.select(F.col("doc").alias("a"), F.col("grams").alias("ga"))
     second = sets.select(F.col("doc").alias("b"), F.col("grams").alias("gb"))
-    both = F.size(F.array_intersect("ga", "gb"))
-    return pairs.join(first, "a").join(second, "b").where(DENOM * both >= NUMER * (F.size("ga") + F.size("gb") - both)).select("a", "b")
+    return pairs.join(first, "a").join(second, "b").select("a", "b", F.size("ga").alias("na"), F.size("gb").alias("nb"), F.size(F.array_intersect("ga", "gb")).alias("d"))
+
+
+_SIMILAR = f"{DENOM} * d >= {NUMER} * (na + nb - d)"
+
+
+#: A link of x and y means that both have _T * (size of x + size of y) shingles at least.
+_T = NUMER / (NUMER + DENOM) - 1e-9
+
+
+def _sides(rows: DataFrame, *also: str) -> tuple[DataFrame, DataFrame]:
+    """The rows as first and as second member of a pair, the first of another class than the lead's."""
+    names = ("doc", "n", "d", "class")
+    x = rows.where("class <> main").select("lead", *also, *(F.col(c).alias(f"{c}_x") for c in names))
+    return x, rows.select("lead", *also, *(F.col(c).alias(f"{c}_y") for c in names), "main")
+
+
+_ONCE = "class_x <> class_y and (class_y = main or doc_x < doc_y)"
+_SIZES = f"{DENOM} * least(n_x, n_y) >= {NUMER} * greatest(n_x, n_y)"
+
+
+def _pairs_within_lead(member: DataFrame) -> DataFrame:
+    """Pairs whose shares of the lead alone allow a link. As the first isn't linked with the lead, the second must
+    be smaller than the lead; few are."""
+    least = member.groupBy("lead").agg(F.min("n").alias("least"))
+    x, y = _sides(member.join(least, "lead").where(f"d >= {_T} * (n + least) and (class <> main or n < nb)"))
+    return x.join(y, "lead").where(f"{_ONCE} and {_SIZES} and least(d_x, d_y) >= {_T} * (n_x + n_y)").select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b"))
+
+
+def _pairs_beyond_lead(member: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs that have shingles outside the lead in common, as many as a link needs beside their shares of it."""
+    own = sets.select("doc", F.col("grams").alias("mine"))
+    its = sets.select(F.col("doc").alias("lead"), F.col("grams").alias("its"))
+    extra = member.join(own, "doc").join(its, "lead").select("lead", "doc", "n", "d", "class", "main", F.explode(F.array_except("mine", "its")).alias("gram"))
+    extra = stored(extra, "extra")
+    live = extra.groupBy("lead", "gram").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("lead", "gram")
+    x, y = _sides(salted_join(extra, live, ["lead", "gram"], "doc"), "gram")
+    pairs = x.join(y, ["lead", "gram"]).where(f"{_ONCE} and {_SIZES}")
+    pairs = pairs.groupBy("lead", "doc_x", "doc_y").agg(F.count("*").alias("k"), *(F.first(c).alias(c) for c in ("n_x", "n_y", "d_x", "d_y")))
+    return pairs.where(f"least(d_x, d_y) + k >= {_T} * (n_x + n_y)").select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -96,42 +136,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     # Equal sets: one representative, the smallest doc_id.
     classes = signed.where("digest is not null and doc_id is not null").groupBy("digest")
-    classes = stored(classes.agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
-    entries = classes.select("doc", "n", F.posexplode("bands").alias("band", "value"))
-    buckets = entries.groupBy("band", "value").agg(F.count("*").alias("many"), F.min("n").alias("least")).where("many > 1")
+    classes = stored(classes.agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last"), F.first("bands").alias("bands")), "classes")
+    entries = classes.select("doc", F.posexplode("bands").alias("band", "value"))
+    buckets = entries.groupBy("band", "value").agg(F.count("*").alias("many")).where("many > 1")
     entries = stored(salted_join(entries, buckets, ["band", "value"], "doc"), "entries")
 
-    # Full sets of the documents that share a bucket; shared counts those of their shingles that others have too.
+    # Full sets of the documents that share a bucket. A bucket's lead is the member with the most company.
     asked = entries.groupBy("doc").agg(F.sum("many").alias("reach"))
     sets = own.join(asked.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets, "doc long, grams array<long>")
     sets = stored(sets.dropDuplicates(["doc"]), "sets")
-    grams = sets.select("doc", F.explode("grams").alias("gram"))
-    common = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1").select("gram")
-    shared = grams.join(common, "gram", "left_semi").groupBy("doc").agg(F.count("*").alias("shared"))
-
-    # A link of x and y needs shared >= t * (n of x + n of y) on both sides, with t as follows.
-    t = NUMER / (NUMER + DENOM) - 1e-9
-    entries = entries.join(asked, "doc").join(shared, "doc").where(F.col("shared") >= t * (F.col("n") + F.col("least")))
-    entries = stored(entries.select("doc", "n", "band", "value", "reach", "shared"), "entries")
-    lead = entries.groupBy("band", "value").agg(F.max(F.struct("reach", -F.col("doc"))).alias("lead"), F.count("*").alias("many"))
-    lead = lead.where("many > 1").select("band", "value", (-F.col("lead.col2")).alias("lead"))
-    pairs = salted_join(entries, lead, ["band", "value"], "doc").where("doc <> lead")
-    links = stored(_linked(pairs.select(F.col("doc").alias("a"), F.col("lead").alias("b")).distinct(), sets), "linked")
-    known = stored(components(links), "known")
-
-    # What a bucket's lead didn't bring together: members of other classes, each against all of other classes.
-    at = entries.join(known, F.col("doc") == F.col("node"), "left").withColumn("class", F.coalesce("component", "doc"))
-    at = stored(at.select("doc", "n", "band", "value", "shared", "class"), "at")
-    sized = at.groupBy("band", "value", "class").agg(F.count("*").alias("size"))
-    largest = sized.groupBy("band", "value").agg(F.max(F.struct("size", "class")).alias("top"), F.count("*").alias("parts"), F.min("class").alias("__any"))
-    largest = largest.where("parts > 1").select("band", "value", F.col("top.class").alias("top"))
-    at = stored(salted_join(at, largest, ["band", "value"], "doc"), "at")
-    x = at.where("class <> top").select("band", "value", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"), F.col("class").alias("ca"))
-    y = at.select("band", "value", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"), F.col("class").alias("cb"), F.col("top"))
-    near = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("top")) | (F.col("a") < F.col("b")))
-    near &= (F.least("sa", "sb") >= t * (F.col("na") + F.col("nb"))) & (DENOM * F.least("na", "nb") >= NUMER * F.greatest("na", "nb"))
-    rest = x.join(y, ["band", "value"]).where(near).select("a", "b").distinct()
-    more = _linked(rest, sets)
+    lead = entries.join(asked, "doc").groupBy("band", "value").agg(F.max(F.struct("reach", (-F.col("doc")).alias("minus"))).alias("best"))
+    lead = lead.select("band", "value", (-F.col("best.minus")).alias("lead"))
+    pairs = salted_join(entries, lead, ["band", "value"], "doc").where("doc <> lead").select(F.col("doc").alias("a"), F.col("lead").alias("b")).distinct()
+    checked = stored(_shared(pairs, sets), "checked")
+    known = stored(components(checked.where(_SIMILAR)), "known")
+
+    # Members of other classes than their lead's, against members of other classes than their own.
+    of = lambda node, name: known.select(F.col("node").alias(node), F.col("component").alias(name))
+    member = checked.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left")
+    member = member.select(F.col("b").alias("lead"), "nb", F.col("a").alias("doc"), F.col("na").alias("n"), "d", F.coalesce("ca", "a").alias("class"), F.coalesce("cb", "b").alias("main"))
+    apart = member.where("class <> main").groupBy("lead").agg(F.min("n").alias("__n"))
+    member = stored(member.join(apart, "lead", "left_semi"), "member")
+    rest = _pairs_within_lead(member).unionByName(_pairs_beyond_lead(member, sets)).distinct()
+    more = _shared(stored(rest, "rest"), sets).where(_SIMILAR).select("a", "b")
     every = more.unionByName(known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
     found = components(every)
 

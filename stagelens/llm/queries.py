@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, pii, transport, warc
+from . import bpe, decontam, langid, line_dedup, pii, toxicity, transport, warc
 from ._common import table
 from .near_dedup import near_duplicates
 
@@ -44,6 +44,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents")).drop("redacted")
 
@@ -57,14 +61,21 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(table(spark, sf_dir, "pages"))).drop("url", "payload")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.classify(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op2_minhash": op2_minhash,
     "op3_transport_stream": op3_transport_stream,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_decontamination": op5_decontamination,
+    "op6_line_dedup": op6_line_dedup,
     "op7_pii": op7_pii,
     "op8_language": op8_language,
     "op9_warc": op9_warc,
+    "op10_toxicity": op10_toxicity,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -108,6 +119,26 @@ WITH dw AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+""",
+    "op6_line_dedup": f"""
+WITH l AS (
+  SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)
+), o AS (
+  SELECT *, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) - length(line) - 1 AS s,
+    trim(regexp_replace(lower(line), '[\\t\\x0b\\x0c\\r ]+', ' ', 'g'), ' ') AS norm FROM l
+), u AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS place,
+    length(norm) - length(replace(norm, ' ', '')) + 1 AS words FROM o WHERE norm <> ''
+), r AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, place) AS nth FROM u),
+v AS (SELECT *, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run FROM r WHERE nth > 1),
+g AS (SELECT doc_id, i, s, length(line) AS n FROM (SELECT *, sum(words) OVER (PARTITION BY doc_id, run) AS w FROM v) WHERE w >= {line_dedup.LEAST_WORDS}),
+c AS (SELECT doc_id, count(*) AS n_removed, string_agg(s || ':' || (s + n), ',' ORDER BY s) AS removed FROM g GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n_units FROM u GROUP BY 1),
+k AS (SELECT o.doc_id, string_agg(o.line, chr(10) ORDER BY o.i) AS text FROM o LEFT JOIN g ON g.doc_id = o.doc_id AND g.i = o.i WHERE g.i IS NULL GROUP BY 1)
+SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed,
+  CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
 """,
     "op9_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),

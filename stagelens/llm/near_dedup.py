@@ -122,6 +122,13 @@ def _pairs_beyond_lead(member: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.where(f"least(d_x, d_y) + k >= {_T} * (n_x + n_y)").select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b"))
 
 
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs whose doc_id is their component's, with their columns as they are. Rows without shingles
+    stay, as do all rows of a doc_id that is kept, and rows with a null id."""
+    gone = near_duplicates(docs, doc_id, text).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(stored(gone, "gone"), docs[doc_id] == F.col("__gone"), "left_anti")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs.
 

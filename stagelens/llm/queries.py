@@ -6,11 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, line_dedup, pii, toxicity, transport, warc
+from . import bpe, decontam, html_extract, langid, line_dedup, pii, toxicity, transport, warc
 from ._common import table
 from .near_dedup import near_duplicates
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_minhash": op2_minhash,
     "op3_transport_stream": op3_transport_stream,
     "op4_byte_bpe": op4_byte_bpe,

@@ -3,7 +3,10 @@
 Words that a worker hasn't met are bucketed by length into padded matrices of token ids. In each round every row
 merges its leftmost pair of minimum rank: ranks of all pairs come from an open-addressing hash table, the row's
 first minimum is merged, the row closes up by one, and rows without a mergeable pair leave the matrix. Texts are
-split at single spaces, where the pattern always splits too, so that a text is a join of remembered encodings.
+cut before spaces that a character follows, where the pattern always splits too, and cuts of plain letters, digits
+and marks into their runs, which are the pattern's matches; the regular expression itself is asked about other cuts.
+Equal pieces of a block are found by two 64-bit hashes, each different one is encoded once, and the texts' ids are
+gathered from these.
 """
 
 from __future__ import annotations
@@ -19,12 +22,25 @@ import regex
 from pyspark.sql import DataFrame
 
 from ._common import blocks, utf8
+from .shingles import span_hashes
 
 #: Rows of more bytes than this would cost their length squared in a matrix; a heap merges them in the same order.
 WIDEST = 256
-#: A worker forgets what it has encoded when it remembers so many strings.
-REMEMBERED = 600_000
+#: A worker forgets the cuts that it asked the pattern about when it remembers so many.
+REMEMBERED = 50_000
+#: Bytes that come first in a character that may be white space: no cut before a space that one of them follows.
+_MAY_BE_SPACE = np.zeros(256, bool)
+_MAY_BE_SPACE[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 NONE = np.int32(2**31 - 1)
+#: Bytes of text that are encoded at once.
+BLOCK = 1 << 20
+#: Kinds of bytes: space, letter (with the Latin-1 letters beyond ASCII), digit, mark; ODD for all others.
+SPACE, LETTER, DIGIT, MARK, ODD = range(5)
+_KIND = np.full(256, ODD, np.uint8)
+_KIND[0x20] = SPACE
+_KIND[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3]] = LETTER
+_KIND[48:58] = DIGIT
+_KIND[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = MARK
 _WIDTHS = [*range(2, 17), 20, 24, 32, 48, 64, 96, 128, WIDEST]
 
 
@@ -84,24 +100,23 @@ class Codec:
         self.ranks = parse_ranks(data)
         self.pair = PairTable(self.ranks)
         self.split = regex.compile(pattern)
-        self.uneven = regex.compile(r" (?=\s|$)")
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.tokens: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self.pieces: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        self.sizes = np.array([len(t) for t in self.tokens], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        self.letters = np.frombuffer(b"".join(self.tokens), np.uint8)
+        self.cuts: dict[bytes, np.ndarray] = {}
 
-    def merge(self, matrix: np.ndarray) -> list[bytes]:
-        """Merges the rows of a matrix of ids, padded with -1, to the end; the ids of each row as bytes."""
-        out = [b""] * len(matrix)
+    def merge(self, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merges the rows of a matrix of ids, padded with -1, to the end: how many ids each row has, and all ids."""
+        many, left = np.zeros(len(matrix), np.int64), []
 
         def leave(rows: np.ndarray, matrix: np.ndarray) -> None:
             held = matrix >= 0
-            ends = 4 * np.cumsum(held.sum(axis=1))
-            flat = matrix[held].astype("<u4").tobytes()
-            for r, a, b in zip(rows.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                out[r] = flat[a:b]
+            many[rows] = held.sum(axis=1)
+            left.append((rows, matrix[held]))
 
         rows = np.arange(len(matrix))
         rank = self.pair(matrix[:, :-1], matrix[:, 1:])
@@ -123,11 +138,16 @@ class Codec:
                 break
             close = close[:-1]
             rank = np.take_along_axis(rank, close + (close >= at[:, None]), axis=1)
-            left = at > 0
-            rank[each[left], at[left] - 1] = self.pair(matrix[each[left], at[left] - 1], matrix[each[left], at[left]])
-            right = at < matrix.shape[1] - 1
-            rank[each[right], at[right]] = self.pair(matrix[each[right], at[right]], matrix[each[right], at[right] + 1])
-        return out
+            left_of = at > 0
+            rank[each[left_of], at[left_of] - 1] = self.pair(matrix[each[left_of], at[left_of] - 1], matrix[each[left_of], at[left_of]])
+            right_of = at < matrix.shape[1] - 1
+            rank[each[right_of], at[right_of]] = self.pair(matrix[each[right_of], at[right_of]], matrix[each[right_of], at[right_of] + 1])
+        starts = np.cumsum(many) - many
+        out = np.empty(int(many.sum()), np.int32)
+        for rows, ids in left:
+            own = many[rows]
+            out[np.repeat(starts[rows] - (np.cumsum(own) - own), own) + np.arange(len(ids))] = ids
+        return many, out
 
     def merge_long(self, ids: np.ndarray) -> np.ndarray:
         """The same order of merges for one long row, by a heap over a linked list."""
@@ -152,50 +172,94 @@ class Codec:
                 heapq.heappush(heap, (x, before[i], part[before[i]] + token))
         return np.array([x for x, p in zip(ids, part, strict=True) if p is not None], np.int32)
 
-    def words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word as little-endian unsigned 32-bit integers; words are bucketed by length."""
-        out = [b""] * len(words)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        for i in np.flatnonzero(sizes == 1):
-            out[i] = self.byte[words[i][0]].astype("<u4").tobytes()
-        for i in np.flatnonzero(sizes > WIDEST):
-            out[i] = self.merge_long(self.byte[np.frombuffer(words[i], np.uint8)]).astype("<u4").tobytes()
+    def words(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each span of bytes has as one piece, and all ids; spans are bucketed by length."""
+        sizes, many, left = end - begin, np.zeros(len(begin), np.int64), []
+        for i in np.flatnonzero(sizes > WIDEST).tolist():
+            ids = self.merge_long(self.byte[data[begin[i] : end[i]]])
+            many[i] = len(ids)
+            left.append((np.array([i]), ids))
+        one = np.flatnonzero(sizes == 1)
+        many[one] = 1
+        left.append((one, self.byte[data[begin[one]]]))
         low = 1
         for width in _WIDTHS:
             held = np.flatnonzero((sizes > low) & (sizes <= width))
             low = width
-            step = max(1, (1 << 20) // width)
+            step = max(1, (1 << 19) // width)
             for k in range(0, len(held), step):
                 some = held[k : k + step]
-                inside = np.arange(width) < sizes[some, None]
-                matrix = np.full((len(some), width), -1, np.int32)
-                matrix[inside] = self.byte[np.frombuffer(b"".join([words[i] for i in some]), np.uint8)]
-                for i, ids in zip(some.tolist(), self.merge(matrix), strict=True):
-                    out[i] = ids
-        return out
-
-    def learn(self, pieces: set[str]) -> None:
-        """Remembers the ids of pieces of the pattern."""
-        if new := list(pieces - self.pieces.keys()):
-            self.pieces.update(zip(new, self.words([p.encode() for p in new]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as bytes."""
-        if len(self.pieces) + len(self.spaced) > REMEMBERED:
-            self.pieces.clear()
-            self.spaced.clear()
-        find, get = self.split.findall, self.pieces.__getitem__
-        split = [(find(t), ()) if self.uneven.search(t) else (find((x := t.split(" "))[0]), x[1:]) for t in texts]
-        self.learn({p for a, _ in split for p in a})
-        if new := list({p for _, b in split for p in b} - self.spaced.keys()):
-            parts = [find(" " + s) for s in new]
-            self.learn({p for some in parts for p in some})
-            self.spaced.update(zip(new, [get(some[0]) if len(some) == 1 else b"".join(map(get, some)) for some in parts], strict=True))
-        spaced = self.spaced.__getitem__
-        return [b"".join(map(get, a)) + b"".join(map(spaced, b)) for a, b in split]
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+                place = np.arange(width)
+                matrix = self.byte[data[np.minimum(begin[some, None] + place, len(data) - 1)]]
+                matrix[place >= sizes[some, None]] = -1
+                own, ids = self.merge(matrix)
+                many[some] = own
+                left.append((some, ids))
+        starts = np.cumsum(many) - many
+        out = np.empty(int(many.sum()), np.int32)
+        for rows, ids in left:
+            own = many[rows]
+            out[np.repeat(starts[rows] - (np.cumsum(own) - own), own) + np.arange(len(ids))] = ids
+        return many, out
+
+    def odd(self, cuts: list[bytes]) -> list[np.ndarray]:
+        """Ids of cuts as the pattern splits them."""
+        if len(self.cuts) > REMEMBERED:
+            self.cuts.clear()
+        if new := list(set(cuts) - self.cuts.keys()):
+            parts = [[p.encode() for p in self.split.findall(c.decode())] for c in new]
+            own = {p: i for i, p in enumerate(dict.fromkeys(p for some in parts for p in some))}
+            ends = np.cumsum([len(p) for p in own])
+            many, ids = self.words(np.frombuffer(b"".join(own), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
+            each = np.split(ids, np.cumsum(many)[:-1])
+            self.cuts.update((c, np.concatenate([each[own[p]] for p in some])) for c, some in zip(new, parts, strict=True))
+        return [self.cuts[c] for c in cuts]
+
+    def encode(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the rows of a block of UTF-8 text, one after the other, and where each row's begin and end."""
+        rows, n = len(offsets) - 1, len(data)
+        if not n:
+            return np.zeros(rows + 1, np.int64), np.zeros(0, np.int32)
+        cut = np.zeros(n + 1, bool)
+        cut[offsets] = True
+        cut = cut[:n]
+        cut[:-1] |= (data[:-1] == 0x20) & ~_MAY_BE_SPACE[data[1:]]
+        begin = np.flatnonzero(cut)
+        sizes = np.diff(np.append(begin, n))
+        kind = _KIND[data]
+        odd = (kind == ODD) | (kind == SPACE) & ~cut
+        odd[:-1] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))  # signs among Latin letters
+        odd = np.logical_or.reduceat(odd, begin) | (kind[begin] == SPACE) & (sizes == 1)
+        inside = np.repeat(~odd, sizes)
+        run = cut.copy()
+        run[1:] |= inside[1:] & (kind[1:] != kind[:-1]) & ~(cut[:-1] & (kind[:-1] == SPACE))
+        begin = np.flatnonzero(run)
+        end = np.append(begin[1:], n)
+        one, two = span_hashes(data, begin, end)
+        _, at, back = np.unique(one, return_index=True, return_inverse=True)
+        if (two != two[at][back]).any():  # a collision of the first hash: every piece for itself
+            at = back = np.arange(len(begin))
+        plain = np.flatnonzero(inside[begin[at]])
+        strange = np.flatnonzero(~inside[begin[at]])
+        many = np.zeros(len(at), np.int64)
+        many[plain], ids = self.words(data, begin[at[plain]], end[at[plain]])
+        starts = np.zeros(len(at), np.int64)
+        starts[plain] = np.cumsum(many[plain]) - many[plain]
+        if len(strange):
+            more = self.odd([data[a:b].tobytes() for a, b in zip(begin[at[strange]].tolist(), end[at[strange]].tolist(), strict=True)])
+            many[strange] = [len(x) for x in more]
+            starts[strange] = len(ids) + np.cumsum(many[strange]) - many[strange]
+            ids = np.concatenate([ids, *more])
+        own = many[back]
+        out = np.concatenate([[0], np.cumsum(own)])
+        gathered = ids[np.repeat(starts[back] - out[:-1], own) + np.arange(out[-1])]
+        return out[np.searchsorted(begin, offsets)], gathered
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that ids stand for, and where each id's begin and end."""
+        sizes = self.sizes[ids]
+        out = np.concatenate([[0], np.cumsum(sizes)])
+        return out, self.letters[np.repeat(self.starts[ids] - out[:-1], sizes) + np.arange(out[-1])]
 
 
 _codecs: dict[tuple[bytes, str], Codec] = {}
@@ -221,18 +285,17 @@ def encode(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", te
     Null and empty texts have no ids. Rows aren't joined or grouped, so repeated and null doc_ids pass through;
     other columns aren't read. ids_sha256 is of the ids as little-endian unsigned 32-bit integers.
     """
-    data = _ranks(docs, ranks)
+    file = _ranks(docs, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(data.value, pattern)
+        own = codec(file.value, pattern)
         for batch in batches:
-            offsets, _ = utf8(batch["text"])
-            for a, b in blocks(offsets):
-                ids = own.encode([x or "" for x in batch["text"].slice(a, b - a).to_pylist()])
-                ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                flat = np.frombuffer(b"".join(ids), "<i4")
-                hashes = [hashlib.sha256(x).hexdigest() for x in ids]
-                columns = [batch["doc_id"].slice(a, b - a), pa.ListArray.from_arrays(ends, flat), pa.array(np.diff(ends).astype(np.int64)), pa.array(hashes, pa.string())]
+            offsets, data = utf8(batch["text"])
+            for a, b in blocks(offsets, BLOCK):
+                ends, ids = own.encode(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])
+                raw, at = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+                hashes = [hashlib.sha256(raw[x:y]).hexdigest() for x, y in zip(at[:-1], at[1:], strict=True)]
+                columns = [batch["doc_id"].slice(a, b - a), pa.ListArray.from_arrays(ends.astype(np.int32), ids), pa.array(np.diff(ends).astype(np.int64)), pa.array(hashes, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "n_tokens", "ids_sha256"])
 
     own = docs.selectExpr(f"cast(`{doc_id}` as long) as doc_id", f"`{text}` as text")
@@ -241,15 +304,18 @@ def encode(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", te
 
 def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded): the bytes that the ids of encode()'s rows stand for."""
-    data = _ranks(encoded, ranks)
+    file = _ranks(encoded, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(data.value, pattern)
+        own = codec(file.value, pattern)
         for batch in batches:
             ids = batch["ids"]
-            ends = ids.offsets.to_numpy().tolist()
-            flat = ids.values
-            decoded = [own.decode(flat.slice(a, b - a).to_pylist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_tokens"], batch["ids_sha256"], pa.array(decoded, pa.binary())], names=["doc_id", "n_tokens", "ids_sha256", "decoded"])
+            ends = ids.offsets.to_numpy().astype(np.int64)
+            flat = ids.values.to_numpy()
+            for a, b in blocks(ends, BLOCK // 4):
+                out, letters = own.decode(flat[ends[a] : ends[b]])
+                cuts = out[ends[a : b + 1] - ends[a]]
+                decoded = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(letters.tobytes())])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), batch["n_tokens"].slice(a, b - a), batch["ids_sha256"].slice(a, b - a), decoded], names=["doc_id", "n_tokens", "ids_sha256", "decoded"])
 
     return encoded.select("doc_id", "ids", "n_tokens", "ids_sha256").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded binary")

@@ -12,6 +12,7 @@ _INVERSE = pow(_MULT, -1, 2**64)
 _PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * _U(2) + _U(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_EXACT = _BYTE.copy()
 for _b in range(65, 91):  # A-Z hash as a-z, and no other letters are folded
     _BYTE[_b] = _BYTE[_b + 32]
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -37,6 +38,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_BYTE_2 = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
+
+
+def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each span of bytes, case kept."""
+    power, inverse = _power(len(data))
+    out = []
+    for table in (_EXACT, _BYTE_2):
+        total = np.empty(len(data) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(table[data] * power, out=total[1:])
+        out.append(mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64)))
+    return out[0], out[1]
+
+
 def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash for each word (runs of anything but space and \\x09-\\x0D, A-Z lower-cased), and for each
     row the index of its first word (one more entry than rows)."""

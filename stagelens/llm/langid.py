@@ -152,8 +152,11 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     share = {r["lang"]: min(1.0, sample / len(counts) / r["count"]) for r in counts}
     part = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col(lang)]
     some = rows.where(F.pmod(F.xxhash64(doc_id, text), F.lit(1 << 20)) < part * (1 << 20)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    got = some.mapInArrow(_histograms, "lang string, at array<int>, counts array<int>").toArrow().sort_by("lang")
-    found = [(g["lang"], np.asarray(g["at"], np.int32), np.asarray(g["counts"], np.float32)) for g in got.to_pylist() if g["at"]]
+    got = some.mapInArrow(_histograms, "lang string, at array<int>, counts array<int>").toArrow().combine_chunks()
+    labels = got["lang"].to_pylist()
+    at, counts = (got[c].combine_chunks() if isinstance(got[c], pa.ChunkedArray) else got[c] for c in ("at", "counts"))
+    ends, at, counts = at.offsets.to_numpy(), at.values.to_numpy(), counts.values.to_numpy().astype(np.float32)
+    found = [(lang, at[a:b], counts[a:b]) for lang, a, b in zip(labels, ends[:-1], ends[1:], strict=True) if b > a]
     found.sort(key=lambda g: (g[0], len(g[1]), g[1].tobytes(), g[2].tobytes()))
     if not found:
         return None

@@ -126,7 +126,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """The rows of docs whose doc_id is their component's, with their columns as they are. Rows without shingles
     stay, as do all rows of a doc_id that is kept, and rows with a null id."""
     gone = near_duplicates(docs, doc_id, text).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(stored(gone, "gone"), docs[doc_id] == F.col("__gone"), "left_anti")
+    gone = stored(gone, "gone")
+    return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

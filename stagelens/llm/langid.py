@@ -22,7 +22,8 @@ from ._common import blocks, utf8
 BUCKET_BITS, DIMENSIONS, GRAMS = 14, 12, (2, 3, 4)
 #: Labelled rows to learn from: about SAMPLE in all, shared evenly by languages; the MOST_LANGUAGES commonest ones.
 SAMPLE, MOST_LANGUAGES = 2_000, 200
-EPOCHS, BATCH, RATE = 6, 32, 40.0
+#: Passes over the sample, or more where it is so small that there would be fewer steps than this.
+EPOCHS, BATCH, RATE, LEAST_STEPS = 6, 32, 40.0, 400
 #: Of validation texts with the right prediction so many are below the threshold, and it is at most so high.
 REJECTED, HIGHEST = 0.001, 0.5
 UNKNOWN = "und"
@@ -97,8 +98,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, languages
     def mean(at: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> np.ndarray:
         return np.add.reduceat(embed[at] * weight[:, None], starts, axis=0)
 
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // max(1, len(used))))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         rng.shuffle(used)
         for k in range(0, len(used), BATCH):
             some = used[k : k + BATCH]

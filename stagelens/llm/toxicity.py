@@ -80,6 +80,8 @@ def linear(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
     y = y.astype(np.float32)
     w, m, v = (np.zeros(x.shape[1], np.float32) for _ in range(3))
+    if not len(y):
+        return w
     for k in range(1, STEPS + 1):
         g = x.T @ (sigmoid(x @ w) - y) / len(y) + PENALTY * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -121,7 +123,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return None
     share = min(1.0, SAMPLE / n)
     known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < share * (1 << 20))
-    some = docs.join(known, F.col(doc_id) == F.col("__id")).where(F.col(text).isNotNull()).select("__id", F.col(text).alias("text"), *(F.col(c).cast("int").alias(c) for c in names))
+    own = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).where("text is not null")
+    some = own.join(known, "__id").select("__id", "text", *(F.col(c).cast("int").alias(c) for c in names))
     got = sorted(some.collect(), key=lambda r: (r["__id"], r["text"]))
     if not got:
         return None

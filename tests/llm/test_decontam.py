@@ -62,7 +62,7 @@ def test_proximity(spark):
 
 
 def test_main_path_has_no_python(spark, capsys):
-    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string").selectExpr("doc_id", "text")
+    docs = spark.sql("SELECT 1L AS doc_id, 'a b' AS text")
     D.hits(docs, docs.withColumnRenamed("doc_id", "item_id")).explain("formatted")
     plan = capsys.readouterr().out
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

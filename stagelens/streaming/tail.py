@@ -13,7 +13,8 @@ def tail(spark: SparkSession, folder: str, most_files: int = 200) -> DataFrame:
     """New log files of a folder as a stream of (log_name, event, ts, value)."""
     text = spark.readStream.format("text").option("maxFilesPerTrigger", most_files).option("recursiveFileLookup", True).load(folder)
     value = F.col("value")
-    ms = F.coalesce(*(F.get_json_object(value, f"$.{k}").cast("bigint") for k in ("Timestamp", "time", "['Submission Time']", "['Completion Time']")), F.get_json_object(value, "$['Task Info']['Finish Time']").cast("bigint"), F.get_json_object(value, "$['Stage Info']['Submission Time']").cast("bigint"))
+    places = ("$.Timestamp", "$.time", "$['Submission Time']", "$['Completion Time']", "$['Task Info']['Finish Time']", "$['Stage Info']['Submission Time']")
+    ms = F.coalesce(*(F.get_json_object(value, p).cast("bigint") for p in places))
     return text.select(log_name_of(F.col("_metadata.file_path")).alias("log_name"), event_of(value).alias("event"), F.timestamp_millis(ms).alias("ts"), "value")
 
 

@@ -34,7 +34,7 @@ _DIGIT = re.compile("[0-9]")
 
 #: High-recall generators of further candidates: (kind, what a text must hold in lower case, pattern).
 _GENERATORS = [
-    ("email", ("(at)", "[at]", " at "), re.compile(r"(?i)\b[a-z0-9][a-z0-9._%+-]{0,63}+[\x20]?(?:\(at\)|\[at\]|[\x20]at[\x20])[\x20]?[a-z0-9-]{1,63}+(?:[\x20]?(?:\(dot\)|\[dot\]|[\x20]dot[\x20]|\.)[\x20]?[a-z0-9-]{2,63}+){1,4}+")),
+    ("email", ("(at)", "[at]", " at "), re.compile(r"(?i)\b[a-z0-9][a-z0-9._%+-]{0,63}+[\x20]?(?:\(at\)|\[at\]|[\x20]at[\x20])[\x20]?[a-z0-9-]{1,63}+(?:[\x20]?(?:\(dot\)|\[dot\]|[\x20]dot[\x20])[\x20]?[a-z0-9-]{2,63}+|\.[a-z0-9-]{2,63}+){1,4}+")),
     ("phone", None, re.compile(r"(?<![0-9A-Za-z.+-])(?:\([0-9]{2,4}\)[\x20]?|00[0-9])[0-9][0-9\x20.()/-]{5,16}[0-9](?![0-9A-Za-z])")),
     ("phone", None, re.compile(r"(?<![0-9A-Za-z.+-])[0-9]{3}[\x20.-][0-9]{3,4}[\x20.-][0-9]{4}(?![0-9A-Za-z])")),
     ("ssn", None, re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")),

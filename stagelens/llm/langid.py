@@ -25,7 +25,7 @@ SAMPLE, MOST_LANGUAGES = 2_000, 200
 #: Passes over the sample, or more where it is so small that there would be fewer steps than this.
 EPOCHS, BATCH, RATE, LEAST_STEPS = 6, 32, 40.0, 400
 #: Of validation texts with the right prediction so many are below the threshold, and it is at most so high.
-REJECTED, HIGHEST = 0.001, 0.5
+REJECTED, HIGHEST = 0.001, 0.35
 UNKNOWN = "und"
 
 _LETTER = regex.compile(r"\p{L}")

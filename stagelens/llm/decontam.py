@@ -58,7 +58,8 @@ def beginnings(index: DataFrame, phrases: DataFrame, lists: int = LISTS) -> Data
     rare = terms.groupBy("phrase", "n").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "offset", "term"))), 1, lists).alias("rare"))
     rare = rare.where("rare[0].df > 0").select("phrase", F.size("rare").alias("asked"), F.inline("rare"))
     rare = stored(rare.select("term", "phrase", "offset", "asked"), "rare")
-    found = index.join(rare, "term").select("doc", "phrase", (F.col("pos") - F.col("offset")).alias("start"), "asked").where("start >= 0")
+    anchors = stored(rare.select("term").distinct(), "anchors")  # small enough to be sent to the index, as rare may not be
+    found = index.join(anchors, "term", "left_semi").join(rare, "term").select("doc", "phrase", (F.col("pos") - F.col("offset")).alias("start"), "asked").where("start >= 0")
     return found.groupBy("doc", "phrase", "start").agg(F.count("*").alias("agree"), F.first("asked").alias("asked")).where("agree >= asked").select("doc", "phrase", "start")
 
 
@@ -99,12 +100,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     are each compared with their own text; null ids match each other. Other columns aren't read.
     """
     phrases = stored(windows(benchmark), "windows")
-    terms = phrases.select(F.explode("words").alias("term")).distinct()
+    # Written, so that Spark's check of sizes sees how small it is, and joins without shuffling every word.
+    terms = stored(phrases.select(F.explode("words").alias("term")).distinct(), "terms")
     index = stored(postings(docs, terms, doc_id, text), "postings")
     found = beginnings(index, phrases)
     found = salted_join(found, phrases, ["phrase"], "doc").groupBy("doc").agg(F.collect_list(F.struct("start", F.size("words").alias("n"), "words", "items")).alias("found"))
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), words(text).alias("w"))
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     own = own.join(stored(found, "found"), F.col("doc_id").eqNullSafe(F.col("doc")), "left")
+    own = own.select("doc_id", words("text").alias("w"), "found")  # texts are shuffled, not their words
     true = F.filter("found", lambda x: F.slice(F.col("w"), x["start"] + 1, x["n"]) == x["words"])
     own = own.select("doc_id", F.size("w").cast("long").alias("n_words"), F.coalesce(true, F.array().cast(_FOUND)).alias("found"))
     spans = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n")))

@@ -26,7 +26,7 @@ from .labelled_pages import MARK, labelled_pages
 HINTS = {
     "content": "article articlebody content post entry story main body text page prose markdown hentry".split(),
     "navigation": "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager tabs toc sitemap skip".split(),
-    "edge": "header head masthead top topbar footer foot bottom colophon copyright legal site".split(),
+    "edge": "header head masthead top topbar footer foot bottom colophon copyright legal site contentinfo".split(),
     "side": "sidebar side aside rail related recommend recommended recommendations more popular trending widget widgets tags tagcloud archive archives complementary".split(),
     "advert": "ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion promoted banner teaser dfp".split(),
     "notice": "cookie cookies consent gdpr notice notification alert banner popup modal overlay dialog paywall disclaimer message warning".split(),
@@ -35,7 +35,7 @@ HINTS = {
     "form": "form login signin signup register subscribe subscription newsletter search searchform contact input".split(),
 }
 _WORDS = {w: i for i, words in enumerate(HINTS.values()) for w in words}
-_TAGS = ["html", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form", "ul", "li", "table", "cell", "p", "heading", "quote", "pre", "figure", "dl", "details", "other"]
+_TAGS = ["html", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form", "ul", "li", "table", "cell", "p", "heading", "quote", "pre", "figure", "dl", "details", "headline", "other"]
 _KIND = {"ol": "ul", "menu": "ul", "td": "cell", "th": "cell", "tr": "table", "tbody": "table", "thead": "table", "tfoot": "table", "caption": "cell", "blockquote": "quote", "figcaption": "figure", "dt": "dl", "dd": "dl", "summary": "details", "fieldset": "form", "legend": "form", "center": "div", "address": "footer"}
 _NOTICE = re.compile(r"(?i)©|\(c\) ?\d|copyright|all rights reserved|cookie|privacy|terms of (?:use|service)|subscribe|newsletter|sign (?:in|up)|log ?in|advert|sponsored|share this|leave a (?:reply|comment)")
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
@@ -51,6 +51,7 @@ def _tag(tag: str) -> int:
 
 
 _TAG_OF: dict[str, int] = {}
+_HEADLINE = _TAGS.index("headline")
 _MAIN = (_TAGS.index("article"), _TAGS.index("main"))
 #: Elements of a single block say nothing by kind or size; those of a long article would outvote its own element.
 _SMALL = frozenset(_TAGS.index(t) for t in ("p", "heading", "li", "cell", "pre", "figure", "dl", "quote"))
@@ -108,6 +109,8 @@ def forest(pages: list[list[Node]]) -> Forest:
                 if tag is None:
                     tag = _TAG_OF[node.tag] = _tag(node.tag)
                 hints = _hinted(node.hints) if node.hints else ()
+                if node.tag == "header" and nodes[node.parent].tag == "article":  # an article's own heading
+                    tag, hints = _HEADLINE, ()
                 other = any(h > 0 for h in hints)
                 row[0] = tag not in _SMALL
                 row[1 + (len(_TAGS) - 1 if other and tag in _MAIN else tag)] = tag not in _SMALL  # an article named comment is no article

@@ -11,7 +11,7 @@ MARK = ""
 class _Maker:
     def __init__(self, rng: np.random.Generator):
         self.rng = rng
-        self.commas, self.kinds = 0.4, 1.0
+        self.commas, self.kinds, self.bare = 0.4, 1.0, False
         self.syllables = ["ta", "ren", "lo", "mi", "ver", "sa", "kon", "du", "pe", "ra", "el", "is", "no", "ti", "gra", "be", "und", "que", "the", "of", "in", "é", "ción"]
 
     def pick(self, *x):
@@ -72,6 +72,8 @@ class _Maker:
 
     def named(self, tags: tuple[str, ...], hints: tuple[str, ...], inner: str, bare: float = 0.4) -> str:
         """An element that its tag or its class or both name."""
+        if self.bare:
+            return f"<div>{inner}</div>"
         tag = self.pick(*tags)
         name = "" if tag != "div" and tag != "section" and tag != "ul" and tag != "ins" and self.chance(bare) else self.pick(*hints)
         key = self.pick("class", "class", "id")
@@ -116,13 +118,22 @@ class _Maker:
     def page(self) -> str:
         self.commas, self.kinds = self.rng.random(), self.pick(0.5, 0.7, 1.0)  # half have few kinds of blocks
         body = [self.block() for _ in range(int(2 ** (self.rng.random() * 5.5 * self.pick(0.3, 1, 1))))]
+        self.bare = self.chance(0.1)  # a page without any names, whose links and notices must tell
+        headline = f"<h1>{MARK}{self.words(2, 10).capitalize()}</h1>"
+        if self.bare:
+            body = [self.block() for _ in range(int(self.rng.integers(3, 20)))]
+            inner = "".join([headline, *body])
+            parts = [self.pick(self.links(), f"<div>{self.links()}</div>"), f"<div>{inner}</div>", self.pick("", f"<div>{self.links()}</div>"), f"<div>Copyright 2024 {self.words(1, 3)}.</div>"]
+            return f"<html><head><title>{self.words(1, 6)}</title></head><body>{''.join(f'<div>{x}</div>' if self.chance(0.3) else x for x in parts)}</body></html>"
         if self.chance(0.85):
-            body.insert(0, f"<h1>{MARK}{self.words(2, 10).capitalize()}</h1>")
+            body.insert(0, self.pick(headline, headline, headline, f'<header{self.pick("", " class=\"entry-header\"", " class=\"post-header\"")}>{headline}</header>'))
+            if "<header" in body[0]:
+                body.append(self.pick("", f"<footer>{self.pick(self.links(1, 3), f'Tags: {self.links(1, 4)}')}</footer>"))
         for intrude, p in ((self.advert, 0.3), (self.side, 0.12), (self.social, 0.15), (self.form, 0.15), (self.notice, 0.12), (self.nav, 0.06)):
             if self.chance(p):
                 body.insert(int(self.rng.integers(len(body) + 1)), intrude())
         inner = "".join(body)
-        layout = self.rng.random()
+        layout = 0.0 if "<header" in body[0] else self.rng.random()
         if layout < 0.45:
             main = f"<article{self.pick('', '', ' class=\"post\"', ' id=\"story\"')}>{inner}</article>"
         elif layout < 0.6:

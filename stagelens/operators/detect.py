@@ -152,38 +152,56 @@ def long_nodes(dag: DataFrame, minutes: float = LONG_MINUTES) -> DataFrame:
 _ISSUE = ("severity", "category", "message", "query_id", "stage_id")
 
 
-def issue_rows(explosions: DataFrame | None, spilled: DataFrame, repeated: DataFrame | None, skewed: DataFrame, heavy: DataFrame) -> DataFrame:
-    """One list of findings, ordered by kind and weight: severity, category, message, query_id, stage_id."""
-    none = F.lit(None).cast("long")
-    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
-    num = lambda c: F.col(c).cast("string")
-    made = []
+def stage_statistics(combined: DataFrame) -> DataFrame:
+    """What the detectors of stages ask, in one pass: spilled bytes and the tasks that spilled, durations, shuffles."""
+    spilled = (F.col("memory_bytes_spilled") > 0) | (F.col("disk_bytes_spilled") > 0)
+    return combined.groupBy(*_STAGE).agg(
+        F.sum(F.when(spilled, F.col("memory_bytes_spilled"))).alias("memory_bytes_spilled"), F.sum(F.when(spilled, F.col("disk_bytes_spilled"))).alias("disk_bytes_spilled"), F.count_if(spilled).alias("spilled_tasks"),
+        F.median("task_duration_seconds").alias("median"), F.max("task_duration_seconds").alias("longest"), (F.coalesce(F.sum("shuffle_bytes_written"), F.lit(0)) + F.coalesce(F.sum("shuffle_bytes_read"), F.lit(0))).alias("shuffled"),
+    )
+
+
+def _issue(order: int, weight: Column, severity: str, category: Column | str, message: list, query: Column | None = None, stage: Column | None = None) -> Column:
+    """A finding; its kind's order and its weight in the kind place it in the feed."""
+    text = F.concat(*(F.lit(m) if isinstance(m, str) else m.cast("string") for m in message))
+    number = lambda c: (F.lit(None) if c is None else c).cast("long")
+    kind = F.lit(category) if isinstance(category, str) else category
+    return F.struct(F.lit(order).alias("o"), weight.cast("double").alias("w"), F.lit(severity).alias("severity"), kind.alias("category"), text.alias("message"), number(query).alias("query_id"), number(stage).alias("stage_id"))
+
 
-    def add(df: DataFrame, severity: str, category: Column, message: Column, query: Column, stage: Column, weight: Column) -> None:
-        made.append(df.select(F.lit(len(made)).alias("o"), weight.cast("double").alias("w"), F.lit(severity).alias("severity"), category.alias("category"), message.alias("message"), query.alias("query_id"), stage.alias("stage_id")))
+def _stage_issues(stats: DataFrame, skew: float, heavy: int) -> DataFrame:
+    """Findings of stages: up to three a row, so that no detector reads the tasks again."""
+    q, s, ratio = F.col("query_id"), F.col("stage_id"), F.col("longest") / F.col("median")
+    spill_text = ["Stage ", s, " spilled ", R.bytes_text(F.col("memory_bytes_spilled")), " from memory and ", R.bytes_text(F.col("disk_bytes_spilled")), " to disk in ", F.col("spilled_tasks"), " tasks"]
+    found = F.array(
+        F.when(F.col("spilled_tasks") > 0, _issue(1, F.col("disk_bytes_spilled"), "critical", "Spill", spill_text, q, s)),
+        F.when((F.col("median") > 0) & (ratio >= skew), _issue(3, ratio, "warning", "Task Skew", ["Stage ", s, " has a task of ", R.one_decimal(ratio), " times the median"], q, s)),
+        F.when(F.col("shuffled") > heavy, _issue(4, F.col("shuffled"), "warning", "Heavy Shuffle", ["Stage ", s, " shuffled ", R.bytes_text(F.col("shuffled"))], q, s)),
+    )
+    return stats.select(F.inline(F.array_compact(found)))
+
+
+def _explosion_issues(explosions: DataFrame) -> DataFrame:
+    crossed = (F.col("node_type") == "BroadcastNestedLoopJoin") | (F.coalesce("join_type", F.lit("")) == "Cross")
+    names = lambda c, other: F.coalesce(F.nullif(F.array_join(F.transform(c, R.path_name), ", "), F.lit("")), F.lit(other))
+    rows = lambda c: R.count_text(F.col(c))
+    message = [F.coalesce("join_type", F.lit("Unknown")), " join of ", names("left_scan_paths", "left"), " (", rows("left_input_rows"), " rows) and ", names("right_scan_paths", "right"), " (", rows("right_input_rows"), " rows) gave ", rows("output_rows"), " rows (", R.one_decimal(F.col("ratio")), "x)"]
+    return explosions.select(F.inline(F.array(_issue(0, F.col("ratio"), "critical", F.when(crossed, "Cartesian Join").otherwise("Row Count Explosion"), message, F.col("query_id")))))
 
+
+def issue_rows(stats: DataFrame, explosions: DataFrame | None = None, repeated: DataFrame | None = None, skew: float = SKEW_RATIO, heavy: int = HEAVY_SHUFFLE_BYTES) -> DataFrame:
+    """One list of findings, ordered by kind and weight: severity, category, message, query_id, stage_id."""
+    out = _stage_issues(stats, skew, heavy)
     if explosions is not None:
-        crossed = (F.col("node_type") == "BroadcastNestedLoopJoin") | (F.coalesce("join_type", F.lit("")) == "Cross")
-        names = lambda c: F.array_join(F.transform(c, lambda p: R.path_name(p)), ", ")
-        add(
-            explosions, "critical", F.when(crossed, "Cartesian Join").otherwise("Row Count Explosion"),
-            text(F.coalesce("join_type", F.lit("Unknown")), " join of ", F.coalesce(F.nullif(names("left_scan_paths"), F.lit("")), F.lit("left")), " (", R.count_text(F.col("left_input_rows")), " rows) and ", F.coalesce(F.nullif(names("right_scan_paths"), F.lit("")), F.lit("right")), " (", R.count_text(F.col("right_input_rows")), " rows) gave ", R.count_text(F.col("output_rows")), " rows (", R.one_decimal(F.col("ratio")), "x)"),
-            F.col("query_id").cast("long"), none, F.col("ratio"),
-        )
-    add(spilled, "critical", F.lit("Spill"), text("Stage ", num("stage_id"), " spilled ", R.bytes_text(F.col("memory_bytes_spilled")), " from memory and ", R.bytes_text(F.col("disk_bytes_spilled")), " to disk in ", num("task_count"), " tasks"), F.col("query_id").cast("long"), F.col("stage_id").cast("long"), F.col("disk_bytes_spilled"))
+        out = out.unionByName(_explosion_issues(explosions))
     if repeated is not None:
-        add(repeated, "warning", F.lit("Repeated Scan"), text(R.path_name(F.col("path")), " is scanned by ", num("scan_count"), " queries"), none, none, F.col("scan_count"))
-    add(skewed, "warning", F.lit("Task Skew"), text("Stage ", num("stage_id"), " has a task of ", R.one_decimal(F.col("skew_ratio")), " times the median"), F.col("query_id").cast("long"), F.col("stage_id").cast("long"), F.col("skew_ratio"))
-    add(heavy, "warning", F.lit("Heavy Shuffle"), text("Stage ", num("stage_id"), " shuffled ", R.bytes_text(F.col("total_shuffle_bytes"))), F.col("query_id").cast("long"), F.col("stage_id").cast("long"), F.col("total_shuffle_bytes"))
-    out = made[0]
-    for one in made[1:]:
-        out = out.unionByName(one)
+        out = out.unionByName(repeated.select(F.inline(F.array(_issue(2, F.col("scan_count"), "warning", "Repeated Scan", [R.path_name(F.col("path")), " is scanned by ", F.col("scan_count"), " queries"])))))
     return out.orderBy("o", F.desc("w"), "query_id", "stage_id", "message").select(*_ISSUE)
 
 
 def issues(dag: DataFrame, combined: DataFrame) -> DataFrame:
     """Findings of all detectors with their defaults; shuffles count as heavy above 1 GiB."""
-    return issue_rows(find_row_explosions(dag), spill(combined), find_repeated_scans(dag), skewed_tasks(combined), heavy_shuffles(combined, HEAVY_SHUFFLE_BYTES))
+    return issue_rows(stage_statistics(combined), find_row_explosions(dag), find_repeated_scans(dag))
 
 
 _TOTALS = ("bytes_read", "records_read", "bytes_written", "records_written", "memory_bytes_spilled", "disk_bytes_spilled", "shuffle_bytes_read", "shuffle_bytes_written", "executor_run_time_seconds", "jvm_gc_time_seconds")

@@ -133,8 +133,7 @@ UNION ALL SELECT 'warning', 'Repeated Scan', regexp_extract(path, '[^/]+$') || '
 UNION ALL SELECT 'warning', 'Task Skew', 'Stage ' || stage_id || ' has a task of ' || {text1('skew_ratio')} || ' times the median', query_id, stage_id FROM skew
 UNION ALL SELECT 'warning', 'Heavy Shuffle', 'Stage ' || stage_id || ' shuffled ' || {bytes_text('total_shuffle_bytes')}, query_id, stage_id FROM heavy WHERE total_shuffle_bytes > 1073741824""")
 def issues_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tasks = X.tasks(spark, sf_dir)
-    return D.issue_rows(None, D.spill(tasks), D.repeated_scans(_scans(spark, sf_dir)), D.skewed_tasks(tasks), D.heavy_shuffles(tasks, D.HEAVY_SHUFFLE_BYTES))
+    return D.issue_rows(D.stage_statistics(X.tasks(spark, sf_dir)), repeated=D.repeated_scans(_scans(spark, sf_dir)))
 
 
 @query(f"WITH {X.TASK} SELECT " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("bytes_read", "records_read", "bytes_written", "memory_bytes_spilled", "disk_bytes_spilled", "shuffle_bytes_read", "shuffle_bytes_written")) + " FROM task")

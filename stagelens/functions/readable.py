@@ -116,16 +116,3 @@ def path_stem(path: Column) -> Column:
 def is_cloud_path(path: Column) -> Column:
     """Whether a path is in an object store or a remote file system by its scheme."""
     return path.rlike(r"^(s3|s3a|abfss|abfs|gs|dbfs|wasbs):/")
-
-
-def plain_size(value: float | None) -> tuple[float, str]:
-    return _plain(value or 0, SIZE_UNITS)
-
-
-def plain_time(value: float | None) -> tuple[float, str]:
-    return _plain(value or 0, TIME_UNITS)
-
-
-def _plain(value: float, units: tuple) -> tuple[float, str]:
-    unit, _, divisor = next(u for u in units if u[1] is None or value < u[1])
-    return value / divisor, unit

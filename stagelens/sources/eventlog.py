@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from . import schemas as S
 
 START = "SparkListenerApplicationStart"
-_SQL = "org.apache.spark.sql.execution.ui."
 
 
 @dataclass

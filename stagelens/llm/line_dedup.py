@@ -32,12 +32,12 @@ def lines(text: str) -> list[tuple[int, int, int, bytes]]:
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "place", "start", "end", "words", "digest"]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["doc_id", "version", "place", "start", "end", "words", "digest"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
     for batch in batches:
         for a in range(0, batch.num_rows, 500):
             part = batch.slice(a, 500)
-            rows = [(d, i, *u) for d, t in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True) for i, u in enumerate(lines(t or ""))]
+            rows = [(d, v, i, *u) for d, v, t in zip(*(part[c].to_pylist() for c in ("doc_id", "version", "text")), strict=True) for i, u in enumerate(lines(t or ""))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
@@ -55,21 +55,24 @@ def _cut(text: str, gone: set[int]) -> str:
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, n_units, n_removed, removed, text) for each row of docs.
 
-    Units are lines that aren't blank. Of equal units the one with the smallest (doc_id, place) is kept; a later one
+    Units are lines that aren't blank. Of equal units the one with the smallest (doc_id, place) is kept, of different
+    texts with one doc_id and place the one with the smallest hash of the text; a later one
     goes if the run of later ones that it stands in, blank lines aside, has least_words words. removed lists
     start:end of the lines that went, in code points of the original text; text is what is left, null where it was
-    null. Rows that repeat a doc_id with equal lines in equal places count as one occurrence. Rows with a null id
+    null. Rows that repeat a doc_id and its text count as one occurrence. Rows with a null id
     neither keep nor lose lines. Other columns aren't read.
     """
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    units = stored(own.where("doc_id is not null").mapInArrow(_units, "doc_id long, place int, start int, end int, words int, digest binary"), "units")
-    first = units.groupBy("digest").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    later = salted_join(units, first, ["digest"], "doc_id").where("first <> struct(doc_id, place)").select("doc_id", "place", "start", "end", "words").distinct()
-    by_place = Window.partitionBy("doc_id").orderBy("place")
-    later = later.withColumn("run", F.col("place") - F.row_number().over(by_place))
-    later = later.withColumn("all_words", F.sum("words").over(Window.partitionBy("doc_id", "run"))).where(F.col("all_words") >= least_words)
-    gone = later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("gone"))
-    rows = own.join(stored(gone, "gone"), "doc_id", "left")
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("version"), F.col(text).alias("text"))
+    units = own.where("doc_id is not null").mapInArrow(_units, "doc_id long, version long, place int, start int, end int, words int, digest binary")
+    units = stored(units, "units")
+    place = F.struct("doc_id", "place", "version")
+    first = units.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    later = salted_join(units, first, ["digest"], "doc_id").where(F.col("first") != place).select("doc_id", "version", "place", "start", "end", "words").distinct()
+    row = ["doc_id", "version"]
+    later = later.withColumn("run", F.col("place") - F.row_number().over(Window.partitionBy(*row).orderBy("place")))
+    later = later.withColumn("all_words", F.sum("words").over(Window.partitionBy(*row, "run"))).where(F.col("all_words") >= least_words)
+    gone = later.groupBy(*row).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("gone"))
+    rows = own.join(stored(gone, "gone"), row, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

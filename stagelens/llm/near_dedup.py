@@ -137,7 +137,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     words, none without words); component_id the smallest doc_id that links reach; kept tells whether it is the
     row's own. Null and empty texts, and texts of white space, have no shingles and are linked with nothing.
     Equal sets are one class, however many there are. Rows that repeat a doc_id with one text all stay kept if
-    that id is its component's. A null doc_id links with nothing and is kept. Extra columns aren't read.
+    that id is its component's; a doc_id with several texts is one node, compared by any one of them. A null doc_id
+    links with nothing and is kept. Extra columns aren't read.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = stored(own.mapInArrow(_signed, "doc_id long, n_shingles long, digest binary, bands array<long>"), "signed")

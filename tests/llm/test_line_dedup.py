@@ -30,3 +30,9 @@ def test_odd_rows(spark):
     got = run(spark, rows)
     assert [r[2] for r in got] == [0] * 6 and [r[4] for r in got] == [None, "", LONG, LONG, "\n\n", LONG]
     assert run(spark, []) == []
+
+
+def test_different_texts_of_one_id(spark):
+    rows = [(1, LONG, ""), (2, f"{'x' * len(LONG)}\nmine", ""), (2, f"{LONG}\nmine", "")]
+    got = run(spark, rows)
+    assert sorted(r[4] for r in got) == sorted([LONG, f"{'x' * len(LONG)}\nmine", "mine"])

@@ -127,4 +127,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     """The rows of docs that aren't contaminated, with their columns as they are. Rows that share a doc_id go
     together; rows with a null id stay unless one of them is contaminated."""
     bad = hits(docs, benchmark, doc_id, text).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
+    bad = stored(bad, "contaminated")  # its size is known then, and docs needn't be shuffled where it is small
     return docs.join(bad, docs[doc_id].eqNullSafe(bad["__bad"]), "left_anti")

@@ -42,7 +42,7 @@ _GENERATORS = [
     ("iban", None, re.compile(r"\b[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?\b")),
     ("ip", (":",), re.compile(r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,7}(?![0-9A-Fa-f:])")),
     ("mac", (":", "-"), re.compile(r"(?<![0-9A-Fa-f:-])[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:-])")),
-    ("secret", ("token", "secret", "passw", "key", "pwd"), re.compile(r"(?i)(?:token|secret|passwor[dt]|passwd|pwd|api[_-]?key|access[_-]?key|key)[\"']?[\x20]?[=:][\x20]?[\"']?(?P<value>[A-Za-z0-9+/_.-]{8,128}+)")),
+    ("secret", ("token", "secret", "passw", "key", "pwd"), re.compile(r"(?i)(?:token|secret|passwor[dt]|passwd|pwd|api[_-]?key|access[_-]?key|key)[\"']?[\x20]?[=:][\x20]?[\"']?(?P<value>[A-Za-z0-9+/_.-]{8,}+)")),
 ]
 _CUES = re.compile(r"(?i)mail|contact|write|call|phone|tel|mobile|fax|ssn|social|security|card|visa|pay|iban|bank|account|ip|host|server|addr|mac|device|token|secret|password|key")
 _COUNTER = re.compile(r"(?i)version|isbn|order|invoice|page|chapter|total|price|section|build|ratio|score|serial|part|meet|look|stay|see|was|were|is")
@@ -164,6 +164,9 @@ def examples(seed: int = 11, many: int = EXAMPLES) -> list[tuple[str, str, int,
         if k == "mac":
             return (pick("device", "mac", words(1)), ":".join(some(hexa, 2) for _ in range(6)), True) if true else (pick("section", "part", "build"), "-".join(some(digits, 2) for _ in range(6)), False)
         lead = pick("token = \"", "api_key: ", "secret=", "password = '", "token=\"", "key: ")
+        if rng.integers(3) == 0:  # tokens, keys and names that may run on
+            many = pick(24, 40, 64, 100, 200, 400)
+            return lead, some(low.upper() + low + digits + "+/_-.", many - 1) + "a" if true else pick("_", "/", ".", "-").join(words(max(2, many // 6)).split()), true
         return lead, (some(hexa, pick(24, 32, 40, 64)) if rng.integers(2) else some(low + digits + "ABCDEFGHKLM", pick(16, 24, 40))) if true else pick(some(low, int(rng.integers(8, 14))), words(1) + "ication"), true
 
     out = []

@@ -47,3 +47,13 @@ def test_overlaps_and_long_texts():
     assert P.redacted("abcdefghij", [("ip", 2, 5), ("card", 4, 8)]) == "ab[IP]ij"
     for t in ("1" * 100_000, "@" * 50_000, "1.1." * 20_000, "+1 " * 20_000, "token=" * 10_000, "a at " * 20_000):
         P.find([t], P.model())
+
+
+@pytest.mark.parametrize("n", [40, 129, 300, 5000])
+def test_long_secrets_go_whole(n):
+    rng = random.Random(n)
+    values = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_") for _ in range(n)) for _ in range(20)]
+    texts = [f'the config token="{v}" and more' for v in values]
+    got = [P.redacted(t, spans) for t, (_, spans) in zip(texts, P.find(texts, P.model()), strict=True)]
+    assert [g for g, v in zip(got, values, strict=True) if "[SECRET]" in g and g != 'the config token="[SECRET]" and more'] == []
+    assert n < 129 or set(got) == {'the config token="[SECRET]" and more'}

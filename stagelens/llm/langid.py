@@ -2,8 +2,8 @@
 
 A text is the mean of the embeddings of its byte 2-, 3- and 4-grams within words, each hashed to a bucket; a linear
 layer and a softmax follow. Both layers are trained by stochastic gradient descent in numpy on a bounded sample of
-labelled rows; a temperature fitted on a validation part (0.25 at least, as that part may be without an error) calibrates the probability, and its low tail on that part
-is the threshold below which a text is rejected. To predict, both layers fold into one table of a row a bucket.
+labelled rows; a temperature fitted on a validation part (0.25 at least, as that part may be without an error) calibrates the probability. The
+threshold below which a text is rejected lies between its low tail on that part and its high tail on random letters. To predict, both layers fold into one table of a row a bucket.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ BUCKET_BITS, DIMENSIONS, GRAMS = 14, 12, (2, 3, 4)
 SAMPLE, MOST_LANGUAGES = 2_000, 200
 #: Passes over the sample, or more where it is so small that there would be fewer steps than this.
 EPOCHS, BATCH, RATE, LEAST_STEPS = 6, 32, 40.0, 400
-#: Of validation texts with the right prediction so many are below the threshold, and it is at most so high.
-REJECTED, HIGHEST = 0.001, 0.35
+#: Of validation texts with the right prediction so many score less than the clean bound, and of JUNK texts of random
+#: letters so many more than the junk bound; the threshold is halfway between both in log-odds.
+REJECTED, JUNK_ABOVE, JUNK = 0.001, 0.01, 300
 UNKNOWN = "und"
 
 _LETTER = regex.compile(r"\p{L}")
@@ -90,7 +91,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, languages
     order = rng.permutation(len(rows))
     held, used = order[::5], np.setdiff1d(order, order[::5]) if len(rows) >= 20 else order
 
-    def batch(some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def batch(some: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]] = rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.concatenate([rows[i][0] for i in some])
         weight = np.concatenate([rows[i][1] / rows[i][1].sum() for i in some]).astype(np.float32)
         return at, weight, np.concatenate([[0], np.cumsum([len(rows[i][0]) for i in some])[:-1]])
@@ -118,12 +119,31 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, languages
     logits = np.concatenate([mean(*batch(held[k : k + 256])) @ linear + bias for k in range(0, len(held), 256)])
     losses = {t: -np.log(softmax(logits / t)[np.arange(len(held)), labels[held]] + 1e-12).mean() for t in np.geomspace(0.25, 5, 30)}
     temperature = min(losses, key=losses.get)
-    p = softmax(logits / temperature)
+    p = softmax(logits.astype(np.float64) / temperature)
     right = p.max(axis=1)[p.argmax(axis=1) == labels[held]]
-    threshold = min(HIGHEST, float(np.quantile(right, REJECTED))) if len(right) else 0.0
+    junk = mean(*batch(np.arange(JUNK), random_letters(rng, JUNK))) @ linear + bias
+    bound = np.quantile(softmax(junk.astype(np.float64) / temperature).max(axis=1), 1 - JUNK_ABOVE)
+    threshold = halfway(float(np.quantile(right, REJECTED)), float(bound)) if len(right) else 0.0
     return Model(languages, (embed @ linear).astype(np.float32), bias, float(temperature), threshold)
 
 
+def random_letters(rng: np.random.Generator, many: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, counts) of texts of random letters and spaces."""
+    letters, out = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz    ", np.uint8), []
+    for size in rng.integers(30, 300, many).tolist():
+        full = np.bincount(np.concatenate(list(buckets(np.array([0, size]), rng.choice(letters, size)))), minlength=(1 << BUCKET_BITS) + 1)[:-1]
+        out.append((np.flatnonzero(full), full[full > 0]))
+    return out
+
+
+def halfway(clean: float, junk: float) -> float:
+    """The score halfway between both in log-odds; the clean one where junk scores as high."""
+    if junk >= clean:
+        return clean
+    odds = [np.log(p) - np.log(max(1 - p, 1e-15)) for p in (clean, junk)]
+    return float(1 / (1 + np.exp(-sum(odds) / 2)))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows that are never learned from: crc32 of the id as text is 2 modulo 4."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))

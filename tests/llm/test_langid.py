@@ -47,3 +47,11 @@ def test_buckets_do_not_cross_rows():
     two = np.frombuffer(b"abcdabcd", np.uint8)
     for x, y in zip(L.buckets(np.array([0, 4]), one), L.buckets(np.array([0, 4, 8]), two), strict=True):
         assert x.tolist() * 2 == y.tolist()
+
+
+def test_letters_of_no_language_are_rejected(spark):
+    data, rng = rows(), random.Random(4)
+    model = L.train(frame(spark, data))
+    junk = [(i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(150)), None, "") for i in range(100)]
+    assert L.predict(frame(spark, junk), model).where("rejected").count() >= 95
+    assert L.predict(frame(spark, data), model).where("rejected").count() == 0

@@ -1,7 +1,6 @@
 """Questions about plan graphs: what can be reached, and edges without the nodes that only pass rows on.
 
-Plans are acyclic and their depth is bounded, so reachability is a recursive query with a bound and not a collected
-graph.
+Plans are acyclic, so reachability is a recursive query that runs until no step is left, and not a collected graph.
 """
 
 from __future__ import annotations
@@ -14,8 +13,8 @@ from pyspark.sql import functions as F
 # Operators that read from outside, and those that a diagram leaves out.
 SOURCES = ("Scan", "BatchScan", "LocalTableScan")
 HIDDEN = ("BroadcastQueryStage", "ShuffleQueryStage", "ReusedExchange", "TableCacheQueryStage", "InMemoryRelation")
-#: Recursion ends here.
-DEPTH = 100
+#: A walk that is deeper than this fails; it isn't cut.
+DEPTH = 10_000
 
 
 def shared_keys(df: DataFrame) -> list[str]:
@@ -27,10 +26,10 @@ def reach(starts: DataFrame, edges: DataFrame, stop: DataFrame | None = None, de
     """(start columns..., node_id): every node reached from starts (query_id, others..., node_id), starts included.
 
     edges: query_id, parent_id, child_id, and log_name in both where there are many logs. Walks stop at nodes of stop
-    (query_id, node_id) and after depth steps.
+    (query_id, node_id). One of more than depth steps, as of a cycle, raises.
     """
     spark = starts.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # the depth bounds the walk; rows grow with the logs
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # the level bounds the walk; rows grow with the logs
     names = {k: f"__{k}_{uuid.uuid4().hex[:8]}" for k in ("starts", "edges")}
     keys, plan = [c for c in starts.columns if c != "node_id"], shared_keys(edges)
     out = edges.select(*plan, "parent_id", "child_id")
@@ -41,11 +40,11 @@ def reach(starts: DataFrame, edges: DataFrame, stop: DataFrame | None = None, de
     listed, same = ", ".join(keys), " AND ".join(f"w.{c} = e.{c}" for c in plan)
     return spark.sql(
         f"""
-        WITH RECURSIVE walk({listed}, node_id, step) MAX RECURSION LEVEL {depth + 1} AS (
-          SELECT {listed}, node_id, 0 FROM {names["starts"]}
+        WITH RECURSIVE walk({listed}, node_id) MAX RECURSION LEVEL {depth + 1} AS (
+          SELECT {listed}, node_id FROM {names["starts"]}
           UNION ALL
-          SELECT {", ".join("w." + k for k in keys)}, e.child_id, w.step + 1 FROM walk w JOIN {names["edges"]} e
-          ON {same} AND w.node_id = e.parent_id WHERE w.step < {depth}
+          SELECT {", ".join("w." + k for k in keys)}, e.child_id FROM walk w JOIN {names["edges"]} e
+          ON {same} AND w.node_id = e.parent_id
         )
         SELECT DISTINCT {listed}, node_id FROM walk
         """

@@ -74,3 +74,11 @@ def test_median_of_averages_replaces_the_total_in_text_too(spark):
 def test_empty_relations_have_no_findings(spark):
     tasks = spark.createDataFrame([], "query_id long, stage_id long, task_duration_seconds double, memory_bytes_spilled long, disk_bytes_spilled long, shuffle_bytes_read long, shuffle_bytes_written long")
     assert D.issues(dag(spark).where(F.lit(False)), tasks).count() == 0
+
+
+def test_reach_is_not_cut_in_deep_plans(spark):
+    edges = spark.sql("SELECT 1 AS query_id, id AS parent_id, id + 1 AS child_id FROM range(105)")
+    starts = spark.sql("SELECT 1 AS query_id, 0L AS node_id")
+    assert G.reach(starts, edges).count() == 106
+    with pytest.raises(Exception, match="RECURSION_LEVEL_LIMIT_EXCEEDED"):
+        G.reach(starts, edges, depth=5).count()

@@ -11,7 +11,10 @@ which that bound allows a link are checked. No pairs of one class are ever liste
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cache
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -23,25 +26,63 @@ from .graphs import components, salted_join
 from .shingles import mix, shingle_sets
 
 WORDS = 5
-#: Links have NUMER / DENOM of the union in common at least.
-NUMER, DENOM = 85, 100
-#: 28 bands of 6 values, from 84 permutations: a link at the threshold is missed with probability 2e-6.
-BANDS, ROWS = 28, 6
+#: Links have PERCENT hundredths of the union in common at least, unless a caller says otherwise.
+PERCENT = 85
+#: A link at the threshold shares no band, and is missed, with this probability at most.
+MISSED = 2e-6
 
 _U = np.uint64
-_FACTORS = np.random.default_rng(977).integers(1, 2**63, BANDS * ROWS // 2, dtype=np.uint64) * _U(2) + _U(1)
-_PLACES = np.random.default_rng(978).integers(1, 2**63, ROWS, dtype=np.uint64) * _U(2) + _U(1)
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Rows of 2 * permutations values: the minimum and the maximum of each permutation, side by side."""
+@dataclass(frozen=True)
+class Level:
+    """What follows from the least similarity of a link, in hundredths: bands and values a band, and conditions."""
+
+    percent: int
+
+    @property
+    def rows(self) -> int:
+        return 6 if self.percent >= 85 else 5
+
+    @property
+    def bands(self) -> int:
+        """An even number of values in all, as a permutation gives two."""
+        many = ceil(log(MISSED) / log(1 - (self.percent / 100) ** self.rows))
+        return many + many * self.rows % 2
+
+    @property
+    def share(self) -> float:
+        """A link of x and y means that both have this times (size of x + size of y) shingles at least."""
+        return self.percent / (self.percent + 100) - 1e-9
+
+    @property
+    def similar(self) -> str:
+        return f"100 * d >= {self.percent} * (na + nb - d)"
+
+    @property
+    def sizes(self) -> str:
+        return f"100 * least(n_x, n_y) >= {self.percent} * greatest(n_x, n_y)"
+
+
+@cache
+def _factors(many: int) -> np.ndarray:
+    return np.random.default_rng(977).integers(1, 2**63, many, dtype=np.uint64) * _U(2) + _U(1)
+
+
+@cache
+def _places(many: int) -> np.ndarray:
+    return np.random.default_rng(978).integers(1, 2**63, many, dtype=np.uint64) * _U(2) + _U(1)
+
+
+def signatures(sets: list[np.ndarray], values: int) -> np.ndarray:
+    """Rows of `values` values, two a permutation: the minimum and the maximum of each permutation, side by side."""
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    out = np.zeros((len(sets), 2 * len(_FACTORS)), np.uint64)
+    out = np.zeros((len(sets), values), np.uint64)
     full = np.flatnonzero(sizes)
     if len(full):
         every = np.concatenate([sets[i] for i in full])
         starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-        for k, factor in enumerate(_FACTORS):
+        for k, factor in enumerate(_factors(values // 2)):
             x = every * factor
             x ^= x >> _U(31)
             out[full, 2 * k] = np.minimum.reduceat(x, starts)
@@ -49,21 +90,30 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        offsets, data = utf8(batch["text"])
-        for a, b in blocks(offsets):
-            sets = shingle_sets(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]], WORDS)
-            bands = mix((signatures(sets).reshape(len(sets), BANDS, ROWS) * _PLACES).sum(axis=2, dtype=np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["doc_id"].slice(a, b - a),
-                    pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], pa.binary()),
-                    pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), bands.ravel()),
-                ],
-                names=["doc_id", "n_shingles", "digest", "bands"],
-            )
+def _digest(grams: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None
+
+
+def _signed(level: Level) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    bands, size = level.bands, level.rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, data = utf8(batch["text"])
+            for a, b in blocks(offsets):
+                sets = shingle_sets(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]], WORDS)
+                values = mix((signatures(sets, bands * size).reshape(len(sets), bands, size) * _places(size)).sum(axis=2, dtype=np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch["doc_id"].slice(a, b - a),
+                        pa.array([len(x) for x in sets], pa.int64()),
+                        pa.array(map(_digest, sets), pa.binary()),
+                        pa.ListArray.from_arrays(np.arange(0, values.size + 1, bands, dtype=np.int32), values.ravel()),
+                    ],
+                    names=["doc_id", "n_shingles", "digest", "bands"],
+                )
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +122,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in blocks(offsets):
             sets = shingle_sets(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]], WORDS)
             ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), pa.ListArray.from_arrays(ends, np.concatenate(sets).view(np.int64))], names=["doc", "grams"])
+            grams = pa.ListArray.from_arrays(ends, np.concatenate(sets).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), pa.array(map(_digest, sets), pa.binary()), grams], names=["doc", "digest", "grams"])
 
 
 def _shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -83,13 +134,6 @@ def _shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", F.size("ga").alias("na"), F.size("gb").alias("nb"), F.size(F.array_intersect("ga", "gb")).alias("d"))
 
 
-_SIMILAR = f"{DENOM} * d >= {NUMER} * (na + nb - d)"
-
-
-#: A link of x and y means that both have _T * (size of x + size of y) shingles at least.
-_T = NUMER / (NUMER + DENOM) - 1e-9
-
-
 def _sides(rows: DataFrame, *also: str) -> tuple[DataFrame, DataFrame]:
     """The rows as first and as second member of a pair, the first of another class than the lead's."""
     names = ("doc", "n", "d", "class")
@@ -98,67 +142,70 @@ def _sides(rows: DataFrame, *also: str) -> tuple[DataFrame, DataFrame]:
 
 
 _ONCE = "class_x <> class_y and (class_y = main or doc_x < doc_y)"
-_SIZES = f"{DENOM} * least(n_x, n_y) >= {NUMER} * greatest(n_x, n_y)"
 
 
-def _pairs_within_lead(member: DataFrame) -> DataFrame:
+def _pairs_within_lead(member: DataFrame, level: Level) -> DataFrame:
     """Pairs whose shares of the lead alone allow a link. As the first isn't linked with the lead, the second must
     be smaller than the lead; few are."""
     least = member.groupBy("lead").agg(F.min("n").alias("least"))
-    x, y = _sides(member.join(least, "lead").where(f"d >= {_T} * (n + least) and (class <> main or n < nb)"))
-    return x.join(y, "lead").where(f"{_ONCE} and {_SIZES} and least(d_x, d_y) >= {_T} * (n_x + n_y)").select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b"))
+    x, y = _sides(member.join(least, "lead").where(f"d >= {level.share} * (n + least) and (class <> main or n < nb)"))
+    return x.join(y, "lead").where(f"{_ONCE} and {level.sizes} and least(d_x, d_y) >= {level.share} * (n_x + n_y)").select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b"))
 
 
-def _pairs_beyond_lead(member: DataFrame, sets: DataFrame) -> DataFrame:
+def _pairs_beyond_lead(member: DataFrame, sets: DataFrame, level: Level) -> DataFrame:
     """Pairs that have shingles outside the lead in common, as many as a link needs beside their shares of it."""
     own = sets.select("doc", F.col("grams").alias("mine"))
     its = sets.select(F.col("doc").alias("lead"), F.col("grams").alias("its"))
     extra = member.join(own, "doc").join(its, "lead").select("lead", "doc", "n", "d", "class", "main", F.explode(F.array_except("mine", "its")).alias("gram"))
     extra = stored(extra, "extra")
-    live = extra.groupBy("lead", "gram").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("lead", "gram")
-    x, y = _sides(salted_join(extra, live, ["lead", "gram"], "doc"), "gram")
-    pairs = x.join(y, ["lead", "gram"]).where(f"{_ONCE} and {_SIZES}")
+    live = extra.groupBy("lead", "gram").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("have")).where("low <> high").select("lead", "gram", "have")
+    x, y = _sides(salted_join(extra, live, ["lead", "gram"], "doc", "have"), "gram")
+    pairs = x.join(y, ["lead", "gram"]).where(f"{_ONCE} and {level.sizes}")
     pairs = pairs.groupBy("lead", "doc_x", "doc_y").agg(F.count("*").alias("k"), *(F.first(c).alias(c) for c in ("n_x", "n_y", "d_x", "d_y")))
-    return pairs.where(f"least(d_x, d_y) + k >= {_T} * (n_x + n_y)").select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b"))
+    return pairs.where(f"least(d_x, d_y) + k >= {level.share} * (n_x + n_y)").select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b"))
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of docs whose doc_id is their component's, with their columns as they are. Rows without shingles
     stay, as do all rows of a doc_id that is kept, and rows with a null id."""
-    gone = near_duplicates(docs, doc_id, text).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = near_duplicates(docs, doc_id, text, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     gone = stored(gone, "gone")
     return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs.
 
+    Documents are linked that have percent hundredths of the union of their shingles in common at least.
     n_shingles is the number of distinct five-word shingles (the whole sequence is one where there are fewer
     words, none without words); component_id the smallest doc_id that links reach; kept tells whether it is the
     row's own. Null and empty texts, and texts of white space, have no shingles and are linked with nothing.
     Equal sets are one class, however many there are. Rows that repeat a doc_id with one text all stay kept if
-    that id is its component's; a doc_id with several texts is one node, compared by any one of them. A null doc_id
-    links with nothing and is kept. Extra columns aren't read.
+    that id is its component's; a doc_id with several texts is one node, compared by
+    that of its texts whose set has the smallest digest, however the rows are dealt. A null doc_id links with nothing
+    and is kept. Extra columns aren't read. A task holds a single text whole, with about 20 bytes a byte of it.
     """
+    level = Level(percent)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = stored(own.mapInArrow(_signed, "doc_id long, n_shingles long, digest binary, bands array<long>"), "signed")
+    signed = stored(own.mapInArrow(_signed(level), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signed")
 
     # Equal sets: one representative, the smallest doc_id.
     classes = signed.where("digest is not null and doc_id is not null").groupBy("digest")
     classes = stored(classes.agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last"), F.first("bands").alias("bands")), "classes")
     entries = classes.select("doc", F.posexplode("bands").alias("band", "value"))
     buckets = entries.groupBy("band", "value").agg(F.count("*").alias("many")).where("many > 1")
-    entries = stored(salted_join(entries, buckets, ["band", "value"], "doc"), "entries")
+    many = level.bands * classes.count()
+    entries = stored(salted_join(entries, buckets, ["band", "value"], "doc", "many", many), "entries")
 
     # Full sets of the documents that share a bucket. A bucket's lead is the member with the most company.
     asked = entries.groupBy("doc").agg(F.sum("many").alias("reach"))
-    sets = own.join(asked.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets, "doc long, grams array<long>")
-    sets = stored(sets.dropDuplicates(["doc"]), "sets")
-    lead = entries.join(asked, "doc").groupBy("band", "value").agg(F.max(F.struct("reach", (-F.col("doc")).alias("minus"))).alias("best"))
-    lead = lead.select("band", "value", (-F.col("best.minus")).alias("lead"))
-    pairs = salted_join(entries, lead, ["band", "value"], "doc").where("doc <> lead").select(F.col("doc").alias("a"), F.col("lead").alias("b")).distinct()
+    sets = own.join(asked.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets, "doc long, digest binary, grams array<long>")
+    sets = stored(sets.groupBy("doc").agg(F.min_by("grams", "digest").alias("grams")), "sets")
+    lead = entries.join(asked, "doc").groupBy("band", "value").agg(F.max(F.struct("reach", (-F.col("doc")).alias("minus"))).alias("best"), F.count("*").alias("members"))
+    lead = lead.select("band", "value", (-F.col("best.minus")).alias("lead"), "members")
+    pairs = salted_join(entries.drop("many"), lead, ["band", "value"], "doc", "members", entries.count()).where("doc <> lead").select(F.col("doc").alias("a"), F.col("lead").alias("b")).distinct()
     checked = stored(_shared(pairs, sets), "checked")
-    known = stored(components(checked.where(_SIMILAR)), "known")
+    known = stored(components(checked.where(level.similar)), "known")
 
     # Members of other classes than their lead's, against members of other classes than their own.
     of = lambda node, name: known.select(F.col("node").alias(node), F.col("component").alias(name))
@@ -166,8 +213,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     member = member.select(F.col("b").alias("lead"), "nb", F.col("a").alias("doc"), F.col("na").alias("n"), "d", F.coalesce("ca", "a").alias("class"), F.coalesce("cb", "b").alias("main"))
     apart = member.where("class <> main").groupBy("lead").agg(F.min("n").alias("__n"))
     member = stored(member.join(apart, "lead", "left_semi"), "member")
-    rest = _pairs_within_lead(member).unionByName(_pairs_beyond_lead(member, sets)).distinct()
-    more = _shared(stored(rest, "rest"), sets).where(_SIMILAR).select("a", "b")
+    rest = _pairs_within_lead(member, level).unionByName(_pairs_beyond_lead(member, sets, level)).distinct()
+    more = _shared(stored(rest, "rest"), sets).where(level.similar).select("a", "b")
     every = more.unionByName(known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
     found = components(every)
 

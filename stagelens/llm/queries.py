@@ -16,7 +16,7 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op3_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,25 +125,30 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """,
-    "op6_line_dedup": f"""
+    "op6_line_dedup": r"""
 WITH l AS (
   SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS line
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)
 ), o AS (
-  SELECT *, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) - length(line) - 1 AS s,
-    trim(regexp_replace(lower(line), '[\\t\\x0b\\x0c\\r ]+', ' ', 'g'), ' ') AS norm FROM l
+  SELECT *, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) - length(line) - 1 AS base,
+    regexp_extract_all(line, '[\t\x0b\x0c\r ]*(?:(?:[^\t\x0b\x0c\r ]+[\t\x0b\x0c\r ]+){4,}?[^\t\x0b\x0c\r ]*[.!?](?:[\t\x0b\x0c\r ]|$)|[^\t\x0b\x0c\r ].*$|$)') AS pieces FROM l
+), p AS (SELECT doc_id, i, base, generate_subscripts(pieces, 1) AS j, unnest(pieces) AS piece FROM o),
+q AS (
+  SELECT *, trim(piece, chr(9) || chr(11) || chr(12) || chr(13) || ' ') AS unit,
+    base + CAST(sum(length(piece)) OVER (PARTITION BY doc_id, i ORDER BY j) AS BIGINT) - length(ltrim(piece, chr(9) || chr(11) || chr(12) || chr(13) || ' ')) AS s FROM p
 ), u AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS place,
-    length(norm) - length(replace(norm, ' ', '')) + 1 AS words FROM o WHERE norm <> ''
-), r AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, place) AS nth FROM u),
+  SELECT *, regexp_replace(lower(unit), '[\t\x0b\x0c\r ]+', ' ', 'g') AS norm, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS place
+  FROM q WHERE unit <> ''
+), r AS (SELECT *, length(norm) - length(replace(norm, ' ', '')) + 1 AS words, row_number() OVER (PARTITION BY norm ORDER BY doc_id, place) AS nth FROM u),
 v AS (SELECT *, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run FROM r WHERE nth > 1),
-g AS (SELECT doc_id, i, s, length(line) AS n FROM (SELECT *, sum(words) OVER (PARTITION BY doc_id, run) AS w FROM v) WHERE w >= {line_dedup.LEAST_WORDS}),
-c AS (SELECT doc_id, count(*) AS n_removed, string_agg(s || ':' || (s + n), ',' ORDER BY s) AS removed FROM g GROUP BY 1),
+c AS (SELECT doc_id, count(*) AS n_removed, string_agg(s || ':' || (s + length(unit)), ',' ORDER BY s) AS removed, sum(words) AS words_removed FROM v GROUP BY 1),
+m AS (SELECT doc_id, max(w) AS longest_removed FROM (SELECT doc_id, run, sum(words) AS w FROM v GROUP BY 1, 2) GROUP BY 1),
 n AS (SELECT doc_id, count(*) AS n_units FROM u GROUP BY 1),
-k AS (SELECT o.doc_id, string_agg(o.line, chr(10) ORDER BY o.i) AS text FROM o LEFT JOIN g ON g.doc_id = o.doc_id AND g.i = o.i WHERE g.i IS NULL GROUP BY 1)
-SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed,
-  CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text
-FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
+k AS (SELECT doc_id, i, max(nth) AS worst, string_agg(unit, ' ' ORDER BY j) FILTER (WHERE nth = 1) AS kept FROM r GROUP BY 1, 2),
+t AS (SELECT o.doc_id, string_agg(CASE WHEN worst > 1 THEN kept ELSE line END, chr(10) ORDER BY o.i) AS text FROM o LEFT JOIN k ON k.doc_id = o.doc_id AND k.i = o.i GROUP BY 1)
+SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END AS text,
+  CAST(coalesce(words_removed, 0) AS BIGINT) AS words_removed, CAST(coalesce(longest_removed, 0) AS BIGINT) AS longest_removed
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN t USING (doc_id)
 """,
     "op9_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),

@@ -135,10 +135,10 @@ def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: st
     dictionary = spark.sparkContext.broadcast(train_dictionary([bytes(r.x) for r in sample if r.x]))
 
     digests = own.where(F.length("payload") >= LEAST_REVISIT).select("page_id", F.unhex(F.sha2("payload", 256)).alias("digest"))
-    first = digests.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
+    first = digests.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     rows = own.withColumn("digest", F.unhex(F.sha2("payload", 256)))
     first = stored(first, "first")
-    revisits = salted_join(digests, first, ["digest"], "page_id").where("not (page_id <=> first)")
+    revisits = salted_join(digests, first, ["digest"], "page_id", "n").where("not (page_id <=> first)")
     revisits = stored(revisits.select("page_id", "digest", "first").distinct(), "revisits")
     rows = rows.join(revisits.select(F.col("page_id").alias("__id"), F.col("digest").alias("__digest"), "first"), F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left")
     rows = rows.select("page_id", "url", "payload", "digest", "first")

@@ -12,7 +12,7 @@ def shingles(text):
     return {tuple(words)} if 0 < len(words) < 5 else {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = [(d, shingles(t)) for d, t, *_ in rows]
     name = {d: d for d, _ in sets if d is not None}
 
@@ -23,15 +23,15 @@ def brute(rows):
 
     for i, (a, x) in enumerate(sets):
         for b, y in sets[:i]:
-            if a is not None and b is not None and x and y and 100 * len(x & y) >= 85 * len(x | y):
+            if a is not None and b is not None and x and y and 100 * len(x & y) >= percent * len(x | y):
                 p, q = find(a), find(b)
                 name[max(p, q)] = min(p, q)
     return sorted(((d, len(s), None if d is None else find(d), d is None or find(d) == d) for d, s in sets), key=str)
 
 
-def check(spark, rows):
-    got = near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert sorted(map(tuple, got), key=str) == brute(rows)
+def check(spark, rows, percent=85):
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA), percent=percent).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, percent)
 
 
 def corpus(seed=1):
@@ -57,6 +57,18 @@ def test_families_against_brute_force(spark):
     check(spark, corpus())
 
 
+def test_families_at_a_lower_level(spark):
+    check(spark, corpus(4), 80)
+
+
+def test_several_texts_of_one_id(spark):
+    rng = random.Random(9)
+    text = [" ".join(str(rng.randrange(1000)) for _ in range(60)) for _ in range(3)]
+    rows = [(5, text[0], "", ""), (5, text[1], "", ""), (5, text[2], "", ""), (7, text[1] + " more", "", ""), (8, text[2], "", ""), (9, text[0] + " more", "", "")]
+    got = {tuple(sorted(map(tuple, near_duplicates(spark.createDataFrame(x, SCHEMA).repartition(n)).collect()))) for x in (rows, rows[::-1]) for n in (1, 3)}
+    assert len(got) == 1
+
+
 def test_odd_rows(spark):
     rows = [
         (1, None, None, None), (2, "", "en", ""), (3, " \t\n\x0b\x0c\r ", "en", ""), (4, "one two", "en", ""), (5, "ONE  Two", "fr", ""), (6, "É two", "en", ""), (7, "é two", "en", ""), (None, "one two", None, None),

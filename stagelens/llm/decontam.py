@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ._common import stored
 from .graphs import salted_join
@@ -49,18 +48,22 @@ def postings(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: st
     return every.join(terms.select("term"), "term")
 
 
-def beginnings(index: DataFrame, phrases: DataFrame, lists: int = LISTS) -> DataFrame:
-    """(doc, phrase, start): where the offset-adjusted lists of each phrase's `lists` rarest terms agree. phrases has
-    (phrase, words)."""
+def beginnings(docs: DataFrame, phrases: DataFrame, lists: int = LISTS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, phrase, n, start): where the offset-adjusted lists of each phrase's `lists` rarest terms agree. phrases
+    has (phrase, words). Terms are counted first, which combines before the shuffle, and only the rarest have their
+    postings stored."""
     terms = phrases.select("phrase", F.size("words").alias("n"), F.posexplode("words").alias("offset", "term"))
-    counts = index.groupBy("term").agg(F.count("*").alias("df"))
+    wanted = stored(terms.select("term").distinct(), "terms")  # Spark's check of sizes sees how small it is
+    counts = stored(postings(docs, wanted, doc_id, text).groupBy("term").agg(F.count("*").alias("df")), "counts")
     terms = terms.join(counts, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rare = terms.groupBy("phrase", "n").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "offset", "term"))), 1, lists).alias("rare"))
-    rare = rare.where("rare[0].df > 0").select("phrase", F.size("rare").alias("asked"), F.inline("rare"))
-    rare = stored(rare.select("term", "phrase", "offset", "asked"), "rare")
-    anchors = stored(rare.select("term").distinct(), "anchors")  # small enough to be sent to the index, as rare may not be
-    found = index.join(anchors, "term", "left_semi").join(rare, "term").select("doc", "phrase", (F.col("pos") - F.col("offset")).alias("start"), "asked").where("start >= 0")
-    return found.groupBy("doc", "phrase", "start").agg(F.count("*").alias("agree"), F.first("asked").alias("asked")).where("agree >= asked").select("doc", "phrase", "start")
+    rare = rare.where("rare[0].df > 0").select("phrase", "n", F.size("rare").alias("asked"), F.inline("rare"))
+    # A row a term, with the phrases that ask for it: as many as the benchmark has, whatever the corpus.
+    rare = stored(rare.groupBy("term").agg(F.first("df").alias("df"), F.collect_list(F.struct("phrase", "n", "offset", "asked")).alias("uses")), "rare")
+    index = stored(postings(docs, rare, doc_id, text), "postings")
+    found = salted_join(index, rare, ["term"], "doc", "df").select("doc", "pos", F.inline("uses"))
+    found = found.select("doc", "phrase", "n", (F.col("pos") - F.col("offset")).alias("start"), "asked").where("start >= 0")
+    return found.groupBy("doc", "phrase", "n", "start").agg(F.count("*").alias("agree"), F.first("asked").alias("asked")).where("agree >= asked").select("doc", "phrase", "n", "start")
 
 
 def proximity(index: DataFrame, phrases: DataFrame, within: int) -> DataFrame:
@@ -92,40 +95,51 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), start, add)["sum"]
 
 
+def _hit_rows(docs: DataFrame, phrases: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, version, n_words, n_hit, phrases) for each row of docs; version is a hash of its text. What a row
+    carries is bounded by its text: at each place one phrase of each length."""
+    found = beginnings(docs, phrases, LISTS, doc_id, text).groupBy("doc").agg(F.collect_list(F.struct("start", "n", "phrase")).alias("found"))
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    # Beginnings grow with the corpus, so they are merged with the texts at every size, and sent nowhere.
+    own = own.join(stored(found, "found").hint("merge"), F.col("doc_id").eqNullSafe(F.col("doc")), "left")
+    own = own.select("doc_id", F.xxhash64("text").alias("version"), words("text").alias("w"), "found")
+    true = F.filter("found", lambda x: F.xxhash64(F.array_join(F.slice(F.col("w"), x["start"] + 1, x["n"]), " ")) == x["phrase"])
+    own = own.select("doc_id", "version", F.size("w").cast("long").alias("n_words"), F.coalesce(true, F.array().cast(_FOUND)).alias("found"))
+    spans = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n")))
+    return own.select("doc_id", "version", "n_words", _covered(spans).alias("n_hit"), F.array_distinct(F.transform("found", lambda x: x["phrase"])).alias("phrases"))
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of docs.
 
-    A word is hit if it is inside an occurrence of any window; items are those whose windows occur. Null and empty
-    texts, and an empty benchmark, give no hits; the digest is then of the empty string. Rows that repeat a doc_id
-    are each compared with their own text; null ids match each other. Other columns aren't read.
+    A word is hit if it is inside an occurrence of any window; items are those whose windows occur. Where the lists
+    agree the document's words are compared with the phrase by their 64-bit hash. Null and empty texts, and an empty
+    benchmark, give no hits; the digest is then of the empty string. Rows that repeat a doc_id are each compared with
+    their own text; null ids match each other. Other columns aren't read. A text of any length is one array of words
+    in its task.
     """
     phrases = stored(windows(benchmark), "windows")
-    # Written, so that Spark's check of sizes sees how small it is, and joins without shuffling every word.
-    terms = stored(phrases.select(F.explode("words").alias("term")).distinct(), "terms")
-    index = stored(postings(docs, terms, doc_id, text), "postings")
-    found = beginnings(index, phrases)
-    found = salted_join(found, phrases, ["phrase"], "doc").groupBy("doc").agg(F.collect_list(F.struct("start", F.size("words").alias("n"), "words", "items")).alias("found"))
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    own = own.join(stored(found, "found"), F.col("doc_id").eqNullSafe(F.col("doc")), "left")
-    own = own.select("doc_id", words("text").alias("w"), "found")  # texts are shuffled, not their words
-    true = F.filter("found", lambda x: F.slice(F.col("w"), x["start"] + 1, x["n"]) == x["words"])
-    own = own.select("doc_id", F.size("w").cast("long").alias("n_words"), F.coalesce(true, F.array().cast(_FOUND)).alias("found"))
-    spans = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n")))
-    items = F.array_distinct(F.flatten(F.transform("found", lambda x: x["items"])))
-    own = own.select("doc_id", "n_words", _covered(spans).alias("n_hit"), F.array_sort(items).alias("items"))
-    digest = F.sha2(F.array_join("items", ","), 256)
+    rows = stored(_hit_rows(docs, phrases, doc_id, text), "hit_rows")
+    row = ["doc_id", "version"]
+    uses = rows.where("size(phrases) > 0").select(*row, F.explode("phrases").alias("phrase")).distinct()
+    asked = phrases.select("phrase", "items").join(uses.groupBy("phrase").agg(F.count("*").alias("many")), "phrase")
+    items = salted_join(uses, stored(asked, "asked"), ["phrase"], "version", "many").select(*row, F.explode("items").alias("item")).distinct()
+    items = items.groupBy(*row).agg(F.array_sort(F.collect_list("item")).alias("items"))
+    items = items.select(F.col("doc_id").alias("__doc"), F.col("version").alias("__version"), F.size("items").cast("long").alias("__n"), F.sha2(F.array_join("items", ","), 256).alias("__digest"))
+    out = rows.drop("phrases").join(stored(items, "items"), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("version") == F.col("__version")), "left")
     contaminated = (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))
-    return own.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), contaminated.alias("contaminated"))
+    n, digest = F.coalesce("__n", F.lit(0).cast("long")), F.coalesce("__digest", F.sha2(F.lit(""), 256))
+    return out.select("doc_id", "n_words", "n_hit", n.alias("n_items"), digest.alias("items_sha256"), contaminated.alias("contaminated"))
 
 
-_FOUND = T.ArrayType(
-    T.StructType([T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType(), False), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("items", T.ArrayType(T.StringType()))])
-)
+_FOUND = "array<struct<start: int, n: int, phrase: bigint>>"
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that aren't contaminated, with their columns as they are. Rows that share a doc_id go
-    together; rows with a null id stay unless one of them is contaminated."""
-    bad = hits(docs, benchmark, doc_id, text).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
+    """The rows of docs without any window of the benchmark, with their columns as they are. A document goes for one
+    window, however long it is: a share would let whole passages through in long documents. Rows that share a doc_id
+    go together; rows with a null id stay unless one of them has a window."""
+    rows = _hit_rows(docs, stored(windows(benchmark), "windows"), doc_id, text)
+    bad = rows.where("n_hit > 0").select(F.col("doc_id").alias("__bad")).distinct()
     bad = stored(bad, "contaminated")  # its size is known then, and docs needn't be shuffled where it is small
     return docs.join(bad, docs[doc_id].eqNullSafe(bad["__bad"]), "left_anti")

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea iframe xmp noembed noframes".split())
 HIDDEN = frozenset("head noscript template select option optgroup datalist button svg math object canvas audio video map dialog".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head".split())
 BLOCK = frozenset(
     "html body address article aside blockquote caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup ins legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -55,10 +56,13 @@ def _hints(attributes: str) -> tuple[str, bool]:
 
 
 def parse(source: str) -> list[Node]:
-    """Nodes in page order, the root first. Never fails: stray markup is read as browsers do, broadly."""
+    """Nodes in page order, the root first. Never fails: stray markup is read as browsers do, broadly. Time is
+    linear in the page's length, however deep its elements are."""
     nodes = [Node("html", -1, 0)]
     stack = [0]  # open block elements
-    hidden: list[str] = []  # open elements whose text doesn't count
+    where: dict[str, list[int]] = {"html": [0]}  # their places in the stack, by name
+    hidden: list[str] = []  # the open element whose text doesn't count, and those in it
+    last_end: dict[str, int] = {}  # the last end tag of a name
     links = 0
     parts: list[str] = []
     linked = 0
@@ -74,6 +78,8 @@ def parse(source: str) -> list[Node]:
 
     def add(raw: str) -> None:
         nonlocal linked
+        if hidden == ["head"] and raw.strip():
+            hidden.clear()  # text can't stand in a head, which may end without a tag
         if hidden or not raw:
             return
         text = _html.unescape(raw) if "&" in raw else raw
@@ -81,16 +87,30 @@ def parse(source: str) -> list[Node]:
         if links:
             linked += len(text.strip())
 
-    def close(names: tuple[str, ...], until: tuple[str, ...] | frozenset) -> None:
+    def place(names: tuple[str, ...] | frozenset) -> int:
+        """Where in the stack the innermost open element of these names is; 0 where none is."""
+        return max((where[n][-1] for n in names if where.get(n)), default=0)
+
+    def close(names: tuple[str, ...], until: tuple[str, ...] | frozenset) -> bool:
         """Closes the innermost open element of these names, and what is in it, unless one of until is in between."""
-        for k in range(len(stack) - 1, 0, -1):
-            tag = nodes[stack[k]].tag
-            if tag in names:
-                flush()
-                del stack[k:]
-                return
-            if tag in until:
-                return
+        k = place(names)
+        if not k or place(until) > k:
+            return False
+        flush()
+        for i in range(k, len(stack)):
+            where[nodes[stack[i]].tag].pop()
+        del stack[k:]
+        return True
+
+    def leave(name: str) -> None:
+        """Ends the innermost hidden element of the name, and those in it."""
+        while hidden.pop() != name:
+            pass
+
+    def ends_later(name: str) -> bool:
+        if name not in last_end:
+            last_end[name] = max((m.start() for m in re.finditer(rf"(?i)</{name}(?=[\s/>])", source)), default=-1)
+        return last_end[name] > at
 
     at, size = 0, len(source)
     while at < size:
@@ -128,13 +148,14 @@ def parse(source: str) -> list[Node]:
             m = re.match(r"[a-zA-Z][^\s/>]*", source[low + 1 + (mark == "/") : end])
             name, attributes, at = m[0].lower(), "", end + 1
         if mark == "/":
-            if hidden:
-                if name in hidden:
-                    while hidden.pop() != name:
-                        pass
+            if hidden and name in hidden:
+                leave(name)
+            elif hidden and (hidden == ["head"] or name not in BLOCK or not place((name,))):
+                pass
             elif name == "a":
                 links = max(0, links - 1)
             elif name in BLOCK and name not in ("html", "body"):
+                hidden.clear()  # of an element that this one holds, and that was left open
                 close((name,) if name[0] != "h" or len(name) != 2 else ("h1", "h2", "h3", "h4", "h5", "h6"), _SCOPE if name == "p" else ("html",))
             continue
         if name in RAW:
@@ -151,14 +172,20 @@ def parse(source: str) -> list[Node]:
                 elif name in ("br", "wbr"):
                     add(" " if name == "br" else "")
             continue
+        if name == "body" or hidden == ["head"] and name not in IN_HEAD:
+            hidden.clear()  # the head ends without a tag
+        if name in ("button", "select", "option") and name in hidden:
+            leave(name)  # these end where the next begins
+        if len(hidden) == 1 and hidden[0] not in HIDDEN and (name in _CLOSES_P and hidden[0] == "p" or name in IMPLIED and hidden[0] in IMPLIED[name][0]):
+            hidden.clear()
         if name in HIDDEN:
-            if name == "head" and attributes.endswith("/"):
-                continue
-            hidden.append(name)
+            # An element that never ends hides nothing, so that a lost end tag doesn't cost the rest of the page.
+            if not attributes.endswith("/") and (name == "head" or hidden or ends_later(name)):
+                hidden.append(name)
             continue
-        if name == "body":
-            hidden.clear()  # whatever the head left open
         if hidden:
+            if name in BLOCK:
+                hidden.append(name)
             continue
         if name == "a":
             links = 1
@@ -179,6 +206,7 @@ def parse(source: str) -> list[Node]:
                 hidden.append(name)
                 continue
             nodes.append(Node(name, top, nodes[top].depth + 1, hints))
+            where.setdefault(name, []).append(len(stack))
             stack.append(len(nodes) - 1)
     flush()
     return nodes

@@ -62,6 +62,9 @@ class _Maker:
             return f"<table><tr>{cell()}{cell()}</tr><tr>{cell()}{cell()}</tr></table>"
         if kind < 0.98:
             return f"<dl><dt>{MARK}{self.words(1, 3)}</dt><dd>{MARK}{self.prose(1, 2)}</dd></dl>"
+        if kind >= 0.99:  # sources, which are links and content
+            item = lambda: f"<li><a href='/{self.word()}'>{MARK}{self.words(1, 6)}</a></li>"
+            return f"<h3>{MARK}{self.words(1, 3).capitalize()}</h3><{(t := self.pick('ul', 'ol'))}>{''.join(item() for _ in range(int(self.rng.integers(2, 6))))}</{t}>"
         return f"<figure><img src='/i'><figcaption>{MARK}{self.prose(1, 1)}</figcaption></figure>"
 
     def links(self, low: int = 3, high: int = 9) -> str:
@@ -115,9 +118,19 @@ class _Maker:
     def social(self) -> str:
         return self.named(("div", "ul"), ("share", "social", "share-buttons", "follow-us"), self.pick(self.links(2, 5), f"Share this: {self.links(2, 4)}"))
 
+    def table_page(self) -> str:
+        """A page laid out by a table, without names: links in one cell, the article in another."""
+        inner = f"<h1>{MARK}{self.words(2, 8).capitalize()}</h1>" + "".join(self.block() for _ in range(int(self.rng.integers(3, 16))))
+        top = self.pick("", f"<tr><td colspan=2>{self.pick(self.links(), f'<b>{self.words(1, 3)}</b>')}</td></tr>")
+        low = self.pick("", f"<tr><td colspan=2>&copy; 2024 {self.words(1, 3)}</td></tr>")
+        cells = [f"<td>{self.links()}</td>", f"<td>{inner}</td>"]
+        return f"<html><head><title>{self.words(1, 6)}</title></head><body><table>{top}<tr>{''.join(cells if self.chance(0.7) else cells[::-1])}</tr>{low}</table></body></html>"
+
     def page(self) -> str:
         self.commas, self.kinds = self.rng.random(), self.pick(0.5, 0.7, 1.0)  # half have few kinds of blocks
         body = [self.block() for _ in range(int(2 ** (self.rng.random() * 5.5 * self.pick(0.3, 1, 1))))]
+        if self.chance(0.04):
+            return self.table_page()
         self.bare = self.chance(0.1)  # a page without any names, whose links and notices must tell
         headline = f"<h1>{MARK}{self.words(2, 10).capitalize()}</h1>"
         if self.bare:

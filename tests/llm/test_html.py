@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -66,6 +67,39 @@ def test_structure():
     assert [(n.text, nodes[n.parent].tag) for n in nodes if n.tag == "#"] == [("a", "li"), ("b", "li"), ("c", "p"), ("d", "p"), ("e", "td"), ("f", "td")]
 
 
+@pytest.mark.parametrize(
+    ("source", "texts"),
+    [
+        ('<html><head><title>x</title><div class="content"><p>a<p>b</div>', ["a", "b"]),
+        ("<head><title>x</title>text<p>b", ["text", "b"]),
+        ('<div style="display:none"><div>a</div>SECRET</div><p>ok', ["ok"]),
+        ("<div hidden><ul><li>a<li>b</ul>c</div>d", ["d"]),
+        ("<p hidden>a<p>b", ["b"]),
+        ("<ul><li hidden>a<li>b</ul>", ["b"]),
+        ("<button>x<p>rest", ["x", "rest"]),
+        ("<select><option>a<option>b<p>rest", ["ab", "rest"]),
+        ("<select><option>a<option>b</select><p>rest", ["rest"]),
+        ("<div>a<object>b</div><p>rest</p></object>", ["a", "rest"]),
+        ("<button><div>x</div>more</button>rest", ["rest"]),
+        ("<p>a</p><div><template><p>t<p>u</template>v</div>", ["a", "v"]),
+    ],
+)
+def test_open_and_nested_elements(source, texts):
+    assert [n.text for n in parse(source) if n.tag == "#"] == texts
+
+
+@pytest.mark.parametrize("source", ["<div>" * 100_000 + "x", "<div>" * 100_000 + "x" + "</div>" * 100_000, "<p><td>" + "<div>" * 100_000, "<ul><li><ul>" + "<div>" * 100_000 + "<li>" * 100_000, "<div>" * 100_000 + "</p>" * 100_000])
+def test_time_with_depth(source):
+    began = time.monotonic()
+    parse(source)
+    assert time.monotonic() - began < 20  # about 2 s; time with the square of the depth would be some minutes
+
+
+def test_links_that_are_content():
+    source = "<body><nav><a href=/>Home</a></nav><article><h1>T</h1><p>Text of it, and more text.</p><h2>Sources</h2><ul><li><a href=/a>First one</a></li><li><a href=/b>Second</a></li></ul></article><footer>x</footer>"
+    assert H.texts([source], H.model()) == ["T\nText of it, and more text.\nSources\nFirst one\nSecond"]
+
+
 def test_table(spark):
     df = spark.createDataFrame([(1, "u", "<article><h1>T</h1><p>é x</p></article>", "q"), (None, None, None, None), (1, "u", "", "")], "page_id long, url string, html string, text string")
     got = sorted((str(r.page_id), r.text, r.n_chars) for r in H.extract(df).collect())

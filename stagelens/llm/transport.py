@@ -109,16 +109,35 @@ def _ticks(b: bytes) -> int:
     return (b[0] >> 1 & 7) << 30 | b[1] << 22 | (b[2] >> 1) << 15 | b[3] << 7 | b[4] >> 1
 
 
+def _pids(packets: np.ndarray) -> np.ndarray:
+    return (packets[:, 1] & 0x1F).astype(np.int32) << 8 | packets[:, 2]
+
+
+def _repeated(packets: np.ndarray) -> np.ndarray:
+    """Packets with a payload whose counter and bytes are those of the packet before them of their stream."""
+    out = np.zeros(len(packets), bool)
+    carries = np.flatnonzero(packets[:, 3] & 0x10)
+    order = carries[np.argsort(_pids(packets)[carries], kind="stable")]
+    if len(order) > 1:
+        same = (packets[order[1:], 1:4] == packets[order[:-1], 1:4]).all(axis=1)  # the counter too, so few are compared whole
+        at = np.flatnonzero(same)
+        out[order[1:][at]] = (packets[order[1:][at]] == packets[order[:-1][at]]).all(axis=1)
+    return out
+
+
 def demux(stream: bytes) -> dict:
     """What a stream holds: programs, elementary streams, continuity errors, payload, and for each PES packet its
-    timestamp, its offset in the payload and whether decoding can begin there. Raises ValueError on a stream that
-    isn't whole packets, has damaged tables or none, or has a PES packet of the wrong length."""
+    timestamp, its offset in the payload and whether decoding can begin there. Program 0 of a program table names
+    the network's table and is no program; a packet that repeats the one before it of its stream, as the format
+    allows once, counts once. Raises ValueError on a stream that isn't whole packets, has damaged tables or none, or
+    has a PES packet of the wrong length."""
     if len(stream) % PACKET:
         raise ValueError("not whole packets")
     packets = np.frombuffer(stream, np.uint8).reshape(-1, PACKET)
     if (packets[:, 0] != SYNC).any():
         raise ValueError("a sync byte is missing")
-    pid = (packets[:, 1] & 0x1F).astype(np.int32) << 8 | packets[:, 2]
+    packets = packets[~_repeated(packets)]
+    pid = _pids(packets)
     starts = (packets[:, 1] & 0x40) > 0
     adapted, carries, counter = (packets[:, 3] & 0x20) > 0, (packets[:, 3] & 0x10) > 0, packets[:, 3] & 15
     begin = np.where(adapted, 5 + packets[:, 4].astype(np.int32), 4)
@@ -128,6 +147,7 @@ def demux(stream: bytes) -> dict:
     for i in np.flatnonzero((pid == PAT_PID) & starts):
         body = _read_section(packets[i].tobytes(), int(begin[i]), 0x00)
         programs |= {int.from_bytes(body[k : k + 2], "big"): int.from_bytes(body[k + 2 : k + 4], "big") & 0x1FFF for k in range(0, len(body), 4)}
+    programs.pop(0, None)
     for number, own in programs.items():
         for i in np.flatnonzero((pid == own) & starts):
             body = _read_section(packets[i].tobytes(), int(begin[i]), 0x02)
@@ -186,26 +206,29 @@ def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return own.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def _demuxed(stream: bytes | None) -> dict:
+    """demux()'s facts with the numbers of programs and streams, or what is wrong with the stream."""
+    try:
+        out = demux(stream or b"")
+    except (ValueError, IndexError) as e:  # IndexError: a length that points out of its packet
+        return {"error": str(e)}
+    return out | {"n_programs": len(out["programs"]), "n_streams": len(out["streams"])}
+
+
 def load(stored: DataFrame) -> DataFrame:
     """store()'s rows with what their streams hold: payload, n_programs, n_streams, n_packets, continuity_errors,
-    and for each access unit its timestamp, payload offset and whether it is a random-access point."""
-    schema = "doc_id long, n_bytes long, media binary, payload binary, n_programs int, n_streams int, n_packets long, continuity_errors long, pts array<long>, unit_offsets array<long>, random_access array<boolean>"
+    and for each access unit its timestamp, payload offset and whether it is a random-access point. A damaged stream
+    has an error, and nulls for the rest; error is null for whole ones."""
+    schema = "doc_id long, n_bytes long, media binary, payload binary, n_programs int, n_streams int, n_packets long, continuity_errors long, pts array<long>, unit_offsets array<long>, random_access array<boolean>, error string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                found = [demux(x.as_py()) for x in part["media"]]
-                columns = [
-                    pa.array([x["payload"] for x in found], pa.binary()),
-                    pa.array([len(x["programs"]) for x in found], pa.int32()),
-                    pa.array([len(x["streams"]) for x in found], pa.int32()),
-                    pa.array([x["packets"] for x in found], pa.int64()),
-                    pa.array([x["continuity_errors"] for x in found], pa.int64()),
-                    pa.array([x["pts"] for x in found], pa.list_(pa.int64())),
-                    pa.array([x["offsets"] for x in found], pa.list_(pa.int64())),
-                    pa.array([x["random_access"] for x in found], pa.list_(pa.bool_())),
-                ]
+                found = [_demuxed(x.as_py()) for x in part["media"]]
+                of = lambda key, kind, found=found: pa.array([x.get(key) for x in found], kind)
+                long, many = pa.int64(), pa.list_(pa.int64())
+                columns = [of("payload", pa.binary()), of("n_programs", pa.int32()), of("n_streams", pa.int32()), of("packets", long), of("continuity_errors", long), of("pts", many), of("offsets", many), of("random_access", pa.list_(pa.bool_())), of("error", pa.string())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[x.split()[0] for x in schema.split(", ")])
 
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)

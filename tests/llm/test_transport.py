@@ -41,6 +41,30 @@ def test_damage():
     assert T.demux(bytes(counter))["continuity_errors"] == 2
 
 
+def test_network_entry_and_repeated_packet():
+    """A program table that names the network's table too; and a packet sent twice."""
+    payload = bytes(range(256)) * 40
+    stream = T.mux(payload)
+    body = bytes([0, 0, 0x00, 0x10, 0x00, 1, 0xE0 | T.PMT_PID >> 8, T.PMT_PID & 0xFF])
+    head = bytes([0, 0xB0, len(body) + 9, 0, 1, 0xC1, 0, 0]) + body
+    table = bytes([0]) + head + T.crc32_mpeg(head).to_bytes(4, "big")
+    pat = stream[:4] + table + b"\xff" * (T.PACKET - 4 - len(table))
+    got = T.demux(pat + stream[T.PACKET :])
+    assert got["programs"] == {1: T.PMT_PID} and got["payload"] == payload
+    for k in (2, 3, 5):
+        twice = stream[: (k + 1) * T.PACKET] + stream[k * T.PACKET :]
+        got = T.demux(twice)
+        assert got["payload"] == payload and got["continuity_errors"] == 0
+
+
+def test_a_damaged_stream_is_a_row(spark):
+    good = T.mux(b"x" * 576)
+    df = spark.createDataFrame([(1, 3, bytearray(good)), (2, 3, bytearray(good[:-1])), (3, 3, None)], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in T.load(df).collect()}
+    assert got[1].error is None and bytes(got[1].payload) == b"x" * 576
+    assert "whole packets" in got[2].error and got[2].payload is None and got[3].error
+
+
 def test_rows_of_a_table(spark):
     df = spark.createDataFrame([(1, "é", "x"), (2, "é", "y"), (None, None, None), (3, "", "z")], "doc_id long, text string, media string")
     got = {r.doc_id: r for r in T.load(T.store(df)).collect()}

@@ -26,6 +26,9 @@ from .shingles import span_hashes
 
 #: Rows of more bytes than this would cost their length squared in a matrix; a heap merges them in the same order.
 WIDEST = 256
+# Fixed value: the pattern whose matches are runs of letters, digits and marks with a space before them or not. Texts
+# are cut into runs for this one alone; others are asked about each text.
+RUNS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A worker forgets the cuts that it asked the pattern about when it remembers so many.
 REMEMBERED = 50_000
 #: Bytes that come first in a character that may be white space: no cut before a space that one of them follows.
@@ -99,7 +102,7 @@ class Codec:
     def __init__(self, data: bytes, pattern: str):
         self.ranks = parse_ranks(data)
         self.pair = PairTable(self.ranks)
-        self.split = regex.compile(pattern)
+        self.split, self.runs = regex.compile(pattern), pattern == RUNS
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.tokens: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
@@ -202,17 +205,23 @@ class Codec:
             out[np.repeat(starts[rows] - (np.cumsum(own) - own), own) + np.arange(len(ids))] = ids
         return many, out
 
+    def whole(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of texts as the pattern splits them."""
+        parts = [[m.group().encode() for m in self.split.finditer(t.decode())] for t in texts]
+        own = {p: i for i, p in enumerate(dict.fromkeys(p for some in parts for p in some if p))}
+        if not own:
+            return [np.zeros(0, np.int32) for _ in texts]
+        ends = np.cumsum([len(p) for p in own])
+        many, ids = self.words(np.frombuffer(b"".join(own), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
+        each = np.split(ids, np.cumsum(many)[:-1])
+        return [np.concatenate([np.zeros(0, np.int32), *(each[own[p]] for p in some if p)]) for some in parts]
+
     def odd(self, cuts: list[bytes]) -> list[np.ndarray]:
-        """Ids of cuts as the pattern splits them."""
+        """whole() of cuts, many of which come again."""
         if len(self.cuts) > REMEMBERED:
             self.cuts.clear()
         if new := list(set(cuts) - self.cuts.keys()):
-            parts = [[p.encode() for p in self.split.findall(c.decode())] for c in new]
-            own = {p: i for i, p in enumerate(dict.fromkeys(p for some in parts for p in some))}
-            ends = np.cumsum([len(p) for p in own])
-            many, ids = self.words(np.frombuffer(b"".join(own), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
-            each = np.split(ids, np.cumsum(many)[:-1])
-            self.cuts.update((c, np.concatenate([each[own[p]] for p in some])) for c, some in zip(new, parts, strict=True))
+            self.cuts.update(zip(new, self.whole(new), strict=True))
         return [self.cuts[c] for c in cuts]
 
     def encode(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,6 +229,9 @@ class Codec:
         rows, n = len(offsets) - 1, len(data)
         if not n:
             return np.zeros(rows + 1, np.int64), np.zeros(0, np.int32)
+        if not self.runs:
+            ids = self.whole([data[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+            return np.concatenate([[0], np.cumsum([len(x) for x in ids])]), np.concatenate(ids)
         cut = np.zeros(n + 1, bool)
         cut[offsets] = True
         cut = cut[:n]

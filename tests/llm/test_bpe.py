@@ -40,3 +40,18 @@ def test_rows_of_a_table(spark):
     got = bpe.decode(bpe.encode(df, PATH, public_tokenizers.PATTERN), PATH, public_tokenizers.PATTERN).collect()
     assert sorted((str(r.doc_id), r.n_tokens, bytes(r.decoded)) for r in got) == [("1", 2, b"Hello world"), ("1", 2, b"Hello world"), ("2", 0, b""), ("None", 0, b"")]
     assert bpe.encode(df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("pattern", [r"\p{N}{1,3}|\p{L}+|[^\p{L}\p{N}]", r"\p{Lu}?\p{Ll}+|\s|."])
+def test_other_patterns_against_tiktoken(pattern):
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        data = f.read()
+    own, theirs = bpe.Codec(data, pattern), tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.parse_ranks(data), special_tokens={})
+    texts = ["Plain words and 12345 numbers, HELLOworld it's", "", "a\n\nb  c", "éß 日本 १२३"]
+    raw = [t.encode() for t in texts]
+    ends, ids = own.encode(np.concatenate([[0], np.cumsum([len(r) for r in raw])]), np.frombuffer(b"".join(raw), np.uint8))
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [theirs.encode_ordinary(t) for t in texts]
+
+
+def test_the_fast_path_is_for_the_pattern_of_the_vocabulary():
+    assert bpe.RUNS == public_tokenizers.PATTERN

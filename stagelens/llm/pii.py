@@ -242,7 +242,7 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, redacted) for each row of docs.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans, redacted) for each row of docs.
 
     Counts and digest are of the base spans; spans are all of them as kind:start:end in code points, end exclusive,
     in the order of kinds and then starts. Null counts as empty and has none. Rows aren't joined or grouped, so
@@ -258,11 +258,11 @@ def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                 found = find(texts, fitted.value)
                 counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in BASE]
                 digest = pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found], pa.string())
-                columns = [part["doc_id"], *counts, digest, pa.array([joined(s) for _, s in found], pa.string()), pa.array([redacted(t, s) for t, (_, s) in zip(texts, found, strict=True)], pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "redacted"])
+                columns = [part["doc_id"], *counts, digest, pa.array([joined(s) for _, s in found], pa.string()), pa.array([len(s) for _, s in found], pa.int64()), pa.array([redacted(t, s) for t, (_, s) in zip(texts, found, strict=True)], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_spans", "redacted"])
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return own.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string")
+    return own.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, redacted string")
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 from ._common import blocks, utf8
 
 BUCKET_BITS, DIMENSIONS, GRAMS = 14, 12, (2, 3, 4)
-#: Labelled rows to learn from: about SAMPLE in all, shared evenly by languages; the MOST_LANGUAGES commonest ones.
-SAMPLE, MOST_LANGUAGES = 2_000, 200
+#: Labelled rows to learn from: about SAMPLE in all, shared evenly by languages, but EACH of a language at least (or
+#: all it has). Every language is learned.
+SAMPLE, EACH = 2_000, 10
+#: Numbers that a prediction holds at once: places in a text times languages.
+CELLS = 1 << 22
 #: Passes over the sample, or more where it is so small that there would be fewer steps than this.
 EPOCHS, BATCH, RATE, LEAST_STEPS = 6, 32, 40.0, 400
 #: Of validation texts with the right prediction so many score less than the clean bound, and of JUNK texts of random
@@ -70,9 +73,14 @@ class Model:
         rows = len(offsets) - 1
         total, many = np.zeros((rows, len(self.languages))), np.zeros(rows)
         starts = offsets[:-1] + np.arange(rows)
+        step = max(1, CELLS // len(self.languages))
         for hashed in buckets(offsets, data):
-            total += np.add.reduceat(self.table[hashed], starts, axis=0)
             many += np.add.reduceat((hashed < 1 << BUCKET_BITS).astype(np.float32), starts)
+            for a in range(0, len(hashed), step):  # by parts, as a place has a number for each language
+                first = int(np.searchsorted(starts, a, "right")) - 1
+                last = int(np.searchsorted(starts, min(a + step, len(hashed)), "left"))
+                cuts = np.maximum(starts[first:last] - a, 0)
+                total[first:last] += np.add.reduceat(self.table[hashed[a : a + step]], cuts, axis=0)
         return softmax((total / np.maximum(many, 1)[:, None] + self.bias) / self.temperature)
 
 
@@ -168,10 +176,10 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     on partitions; only their histograms of buckets come to the driver.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(doc_id))
-    counts = rows.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = rows.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return None
-    share = {r["lang"]: min(1.0, sample / len(counts) / r["count"]) for r in counts}
+    share = {r["lang"]: min(1.0, max(EACH, sample / len(counts)) / r["count"]) for r in counts}
     part = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col(lang)]
     some = rows.where(F.pmod(F.xxhash64(doc_id, text), F.lit(1 << 20)) < part * (1 << 20)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     got = some.mapInArrow(_histograms, "lang string, at array<int>, counts array<int>").toArrow().combine_chunks()

@@ -55,3 +55,18 @@ def test_letters_of_no_language_are_rejected(spark):
     junk = [(i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(150)), None, "") for i in range(100)]
     assert L.predict(frame(spark, junk), model).where("rejected").count() >= 95
     assert L.predict(frame(spark, data), model).where("rejected").count() == 0
+
+
+def test_fifty_languages_and_bounded_parts(spark, monkeypatch):
+    """Every language is learned, and parts of a block give what the whole gives."""
+    rng = random.Random(4)
+    words = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 8))) for _ in range(12)] for k in range(50)}
+    data = [(i, " ".join(rng.choice(words[lang]) for _ in range(60)), lang, "x") for i, lang in enumerate(sorted(words) * 24)]
+    model = L.train(frame(spark, data))
+    assert model.languages == sorted(words)
+    texts = [t.encode() for _, t, _, _ in data[:60]] + [b""]
+    offsets, raw = np.concatenate([[0], np.cumsum([len(t) for t in texts])]), np.frombuffer(b"".join(texts), np.uint8)
+    whole = model.probabilities(offsets, raw)
+    assert np.mean([model.languages[p.argmax()] == r[2] for p, r in zip(whole, data, strict=False)]) > 0.75  # an even guess is 0.02
+    monkeypatch.setattr(L, "CELLS", 50 * 37)
+    assert np.allclose(model.probabilities(offsets, raw), whole, atol=1e-5)

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import stored
+
 #: The chain: category, and the condition on a row of labels that makes it true.
 CHAIN = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"))
 #: Labelled rows to learn from at most (about), words that the models know at most, least z of a
@@ -54,20 +56,19 @@ class Chain:
     thresholds: list[float]
 
     def predict(self, texts: list[str]) -> np.ndarray:
-        x = rows(texts, self.vocabulary)
+        x = rows([[self.vocabulary[w] for w in words(t) & self.vocabulary.keys()] for t in texts], [style(t) for t in texts], len(self.vocabulary))
         for w in self.weights:
             p = sigmoid(np.hstack([x, np.ones((len(x), 1))]) @ w)
             x = np.hstack([x, p[:, None]])
         return x[:, x.shape[1] - len(self.weights) :]
 
 
-def rows(texts: list[str], vocabulary: dict[str, int]) -> np.ndarray:
-    """A row a text: known words as 0 or 1, then style."""
-    out = np.zeros((len(texts), len(vocabulary) + 4))
-    for i, t in enumerate(texts):
-        for w in words(t) & vocabulary.keys():
-            out[i, vocabulary[w]] = 1
-        out[i, len(vocabulary) :] = style(t)
+def rows(known: list[list[int]], styles: list[list[float]], many: int) -> np.ndarray:
+    """A row a text: each of `many` known words as 0 or 1, then style."""
+    out = np.zeros((len(known), many + 4))
+    for i, (some, own) in enumerate(zip(known, styles, strict=True)):
+        out[i, some] = 1
+        out[i, many:] = own
     return out
 
 
@@ -89,10 +90,9 @@ def linear(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(texts: list[str], labels: np.ndarray, categories: list[str], vocabulary: dict[str, int]) -> Chain:
-    """labels: a column of 0 and 1 for each category, in the chain's order."""
-    x = rows(texts, vocabulary)
-    fold = np.arange(len(x)) % FOLDS
+def fit(x: np.ndarray, labels: np.ndarray, fold: np.ndarray, categories: list[str], vocabulary: dict[str, int]) -> Chain:
+    """x: a row a text, of rows(); labels: a column of 0 and 1 for each category, in the chain's order; fold: the
+    fold that each row is dealt to, equal for equal texts, so that no copy of a text is learned from for its fold."""
     weights, thresholds = [], []
     for k in range(len(categories)):
         y = labels[:, k]
@@ -113,45 +113,54 @@ def fit(texts: list[str], labels: np.ndarray, categories: list[str], vocabulary:
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", chain: tuple = CHAIN) -> Chain | None:
     """A chain from labelled rows, about SAMPLE of them by a hash of the id; None where there are none.
 
-    Rows without a text or with a null in a condition's column aren't learned from. Known words are those whose
-    share of documents differs most between a category and the rest; their counts are taken in Spark.
+    Rows without a text or with a null in a condition's column aren't learned from. Of a doc_id's clashing labels
+    those that make a category true count; a doc_id with several texts lends its labels to each. Known words are the
+    WORDS whose share of documents differs most between a category and the rest, counted and chosen in Spark; to the
+    driver come, for each row of the sample, the known words that it has and its style, and no text.
     """
     names = [c for c, _ in chain]
-    known = labels.select(F.col("doc_id").alias("__id"), *(F.expr(e).alias(c) for c, e in chain)).dropna().dropDuplicates(["__id"])
+    known = labels.select(F.col("doc_id").alias("__id"), *(F.expr(e).cast("int").alias(c) for c, e in chain)).dropna().groupBy("__id").agg(*(F.max(c).alias(c) for c in names))
     n = known.count()
     if not n:
         return None
-    share = min(1.0, SAMPLE / n)
-    known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < share * (1 << 20))
+    known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < min(1.0, SAMPLE / n) * (1 << 20))
     own = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).where("text is not null")
-    some = own.join(known, "__id").select("__id", "text", *(F.col(c).cast("int").alias(c) for c in names))
-    got = sorted(some.collect(), key=lambda r: (r["__id"], r["text"]))
+    some = own.join(known, "__id").select("text", F.xxhash64("text").alias("hash"), F.array(*names).alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 100):
+                part = batch.slice(a, 100)
+                texts = part["text"].to_pylist()
+                yield pa.RecordBatch.from_arrays([part["hash"], part["y"], pa.array([sorted(words(t)) for t in texts], pa.list_(pa.string())), pa.array([style(t) for t in texts], pa.list_(pa.float64()))], names=["hash", "y", "words", "style"])
+
+    some = stored(some.mapInArrow(run, "hash long, y array<int>, words array<string>, style array<double>"), "labelled")
+    chosen = _vocabulary(some, len(names))
+    vocabulary = {w: k for k, w in enumerate(chosen)}
+    mine = F.array_intersect("words", F.array(*map(F.lit, chosen))) if chosen else F.array().cast("array<string>")
+    got = sorted(some.select("hash", "y", "style", mine.alias("words")).collect(), key=lambda r: (r["hash"], r["y"]))
     if not got:
         return None
-    texts, y = [r["text"] for r in got], np.array([[r[c] for c in names] for r in got], float)
-    vocabulary = _vocabulary(texts, y)
-    return fit(texts, y, names, vocabulary)
+    x = rows([[vocabulary[w] for w in r["words"]] for r in got], [r["style"] for r in got], len(vocabulary))
+    return fit(x, np.array([r["y"] for r in got], float), np.array([r["hash"] % FOLDS for r in got]), names, vocabulary)
 
 
-def _vocabulary(texts: list[str], y: np.ndarray) -> dict[str, int]:
+def _vocabulary(some: DataFrame, categories: int) -> list[str]:
     """Words whose share differs between a category and the rest with |z| >= LEAST_Z, the surest first."""
-    counts: dict[str, np.ndarray] = {}
-    for t, row in zip(texts, np.hstack([np.ones((len(y), 1)), y]), strict=True):
-        for w in words(t):
-            if w in counts:
-                counts[w] += row
-            else:
-                counts[w] = row.copy()
-    names = [w for w, c in counts.items() if c[0] >= LEAST_DOCUMENTS]
-    if not names:
-        return {}
-    c = np.array([counts[w] for w in names])
-    n, pos = len(y), y.sum(axis=0)
-    share = c[:, :1] / n
-    z = (c[:, 1:] - pos * share) / np.sqrt(np.maximum(pos * (1 - pos / n), 1e-9) * share * (1 - share) * n / max(1, n - 1) + 1e-9)
-    best = np.abs(z).max(axis=1)
-    order = sorted(np.flatnonzero(best >= LEAST_Z).tolist(), key=lambda i: (-best[i], names[i]))[:WORDS]
-    return {names[i]: k for k, i in enumerate(order)}
+    sums = lambda: [F.sum(F.col("y")[k]).cast("double").alias(f"s{k}") for k in range(categories)]
+    whole = some.agg(F.count("*").alias("n"), *sums()).first()
+    n = whole["n"]
+    counts = some.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("c"), *sums()).where(F.col("c") >= LEAST_DOCUMENTS)
+    share, size = F.col("c") / F.lit(float(max(1, n))), n / max(1, n - 1)
+
+    def z(k: int):
+        positive = whole[f"s{k}"] or 0.0
+        spread = max(positive * (1 - positive / max(1, n)), 1e-9)
+        return F.abs((F.col(f"s{k}") - positive * share) / F.sqrt(spread * share * (1 - share) * size + 1e-9))
+
+    best = [z(k) for k in range(categories)]
+    found = counts.select("word", F.greatest(*best).alias("z") if len(best) > 1 else best[0].alias("z")).where(F.col("z") >= LEAST_Z)
+    return [r["word"] for r in found.orderBy(F.desc(F.round("z", 9)), "word").limit(WORDS).collect()]
 
 
 def classify(docs: DataFrame, chain: Chain | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

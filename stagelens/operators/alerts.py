@@ -84,13 +84,15 @@ def baselines(runs: DataFrame, metric: str, window: int = 10, order: str = "run_
 
 
 def dispatch(fired: list[dict], path: str | None = None) -> None:
-    """Acts on fired rules in order: a log line, a line of JSON in a file, or an AlertError that ends it."""
+    """Acts on fired rules in order: a log line, a line of JSON in a file, or an AlertError that ends it. A rule that
+    writes to a file where there is no path is an error in the log, and the others go on."""
     for one in fired:
         if one["on_trigger"] == "raise":
             raise AlertError(one["name"], one["metric"], one["current"], one["baseline"])
         if one["on_trigger"] == "file":
             if path is None:
-                raise ValueError(f"Alert {one['name']} writes to a file, but there is no path")
+                log.error("Alert %s writes to a file, but there is no path", one["name"])
+                continue
             storage.append_text(path, json.dumps(one, default=str) + "\n")
         else:
             log.log(logging.ERROR if one["severity"] == "critical" else logging.WARNING, "Alert %s: %s is %s, baseline %s", one["name"], one["metric"], one["current"], one["baseline"])

@@ -95,69 +95,82 @@ def find_row_explosions(dag: DataFrame, ratio: float = EXPLOSION_RATIO) -> DataF
 
 def largest_scans(reads: DataFrame, scans: DataFrame | None = None, n: int = LARGEST_SCANS) -> DataFrame:
     """The n scans that read most, by bytes. reads: query_id, node_name, bytes_read, records_read, a row a task and
-    node; scans: query_id, node_name, paths of the scan nodes."""
-    out = reads.groupBy("query_id", "node_name").agg(F.sum("bytes_read").alias("bytes_read"), F.sum("records_read").alias("records_read"))
+    node; scans: query_id, node_name, paths of the scan nodes; log_name in both where there are many logs."""
+    node = [*shared_keys(reads), "node_name"]
+    out = reads.groupBy(*node).agg(F.sum("bytes_read").alias("bytes_read"), F.sum("records_read").alias("records_read"))
     if scans is not None:
-        out = out.join(scans.select("query_id", "node_name", "paths"), ["query_id", "node_name"], "left")
-    return out.orderBy(F.desc("bytes_read"), "query_id", "node_name").limit(n)
+        out = out.join(scans.select(*node, "paths"), node, "left")
+    return out.orderBy(F.desc("bytes_read"), *node).limit(n)
 
 
 def find_largest_scans(dag: DataFrame, combined: DataFrame, n: int = LARGEST_SCANS) -> DataFrame:
-    scans = dag.where("node_type = 'Scan'").select("query_id", "node_name", scan_paths().alias("paths"))
-    reads = combined.select("query_id", F.explode("nodes").alias("node_name"), "bytes_read", "records_read")
-    reads = reads.join(scans.select("query_id", "node_name"), ["query_id", "node_name"], "left_semi")
+    keys = shared_keys(combined)
+    scans = dag.where("node_type = 'Scan'").select(*keys, "node_name", scan_paths().alias("paths"))
+    reads = combined.select(*keys, F.explode("nodes").alias("node_name"), "bytes_read", "records_read")
+    reads = reads.join(scans.select(*keys, "node_name"), [*keys, "node_name"], "left_semi")
     return largest_scans(reads, scans, n)
 
 
 def repeated_scans(scans: DataFrame) -> DataFrame:
-    """Paths that several queries scan, most often first. scans: path, query_id."""
-    out = scans.select("path", "query_id").distinct().groupBy("path").agg(F.count("*").alias("scan_count"), F.sort_array(F.collect_list("query_id")).alias("query_ids"))
-    return out.where("scan_count > 1").orderBy(F.desc("scan_count"), "path")
+    """Paths that several queries of a log scan, most often first. scans: path, query_id, and log_name where there
+    are many logs."""
+    log = [c for c in ("log_name",) if c in scans.columns]
+    out = scans.select(*log, "path", "query_id").distinct().groupBy(*log, "path").agg(F.count("*").alias("scan_count"), F.sort_array(F.collect_list("query_id")).alias("query_ids"))
+    return out.where("scan_count > 1").orderBy(F.desc("scan_count"), *log, "path")
 
 
 def find_repeated_scans(dag: DataFrame) -> DataFrame:
-    return repeated_scans(dag.where("node_type = 'Scan'").select(F.explode(scan_paths()).alias("path"), "query_id"))
+    return repeated_scans(dag.where("node_type = 'Scan'").select(F.explode(scan_paths()).alias("path"), *shared_keys(dag)))
 
 
-_STAGE = ("query_id", "stage_id")
+def _stage(combined: DataFrame) -> list[str]:
+    """What a stage is known by: applications all number their queries and stages from 0."""
+    return [*shared_keys(combined), "stage_id"]
 
 
 def spill(combined: DataFrame) -> DataFrame:
     """Stages whose tasks spilled, with the sums and the number of those tasks."""
+    stage = _stage(combined)
     spilled = combined.where("memory_bytes_spilled > 0 or disk_bytes_spilled > 0")
-    out = spilled.groupBy(*_STAGE).agg(F.sum("memory_bytes_spilled").alias("memory_bytes_spilled"), F.sum("disk_bytes_spilled").alias("disk_bytes_spilled"), F.count("*").alias("task_count"))
-    return out.orderBy(*_STAGE)
+    out = spilled.groupBy(*stage).agg(F.sum("memory_bytes_spilled").alias("memory_bytes_spilled"), F.sum("disk_bytes_spilled").alias("disk_bytes_spilled"), F.count("*").alias("task_count"))
+    return out.orderBy(*stage)
+
+
+def _median(exact: bool) -> Column:
+    return F.median("task_duration_seconds") if exact else F.percentile_approx("task_duration_seconds", 0.5, 10_000)
 
 
 def skewed_tasks(combined: DataFrame, ratio: float = SKEW_RATIO, exact: bool = True) -> DataFrame:
     """Stages whose longest task took ratio times the median. exact=False takes an approximate median, in memory
     that doesn't grow with a stage's tasks."""
-    median = F.median("task_duration_seconds") if exact else F.percentile_approx("task_duration_seconds", 0.5, 10_000)
-    out = combined.groupBy(*_STAGE).agg(F.count("*").alias("task_count"), median.cast("double").alias("median_duration_seconds"), F.max("task_duration_seconds").alias("max_duration_seconds")).where("median_duration_seconds > 0")
-    return out.withColumn("skew_ratio", F.col("max_duration_seconds") / F.col("median_duration_seconds")).where(F.col("skew_ratio") >= ratio).orderBy(F.desc("skew_ratio"), *_STAGE)
+    stage = _stage(combined)
+    out = combined.groupBy(*stage).agg(F.count("*").alias("task_count"), _median(exact).cast("double").alias("median_duration_seconds"), F.max("task_duration_seconds").alias("max_duration_seconds")).where("median_duration_seconds > 0")
+    return out.withColumn("skew_ratio", F.col("max_duration_seconds") / F.col("median_duration_seconds")).where(F.col("skew_ratio") >= ratio).orderBy(F.desc("skew_ratio"), *stage)
 
 
 def heavy_shuffles(combined: DataFrame, threshold_bytes: int = 0) -> DataFrame:
     """Stages that wrote and read more shuffle bytes than the threshold."""
-    out = combined.groupBy(*_STAGE).agg(F.sum("shuffle_bytes_written").alias("shuffle_bytes_written"), F.sum("shuffle_bytes_read").alias("shuffle_bytes_read"), F.count("*").alias("task_count"))
+    stage = _stage(combined)
+    out = combined.groupBy(*stage).agg(F.sum("shuffle_bytes_written").alias("shuffle_bytes_written"), F.sum("shuffle_bytes_read").alias("shuffle_bytes_read"), F.count("*").alias("task_count"))
     out = out.withColumn("total_shuffle_bytes", F.coalesce("shuffle_bytes_written", F.lit(0)) + F.coalesce("shuffle_bytes_read", F.lit(0)))
-    return out.where(F.col("total_shuffle_bytes") > threshold_bytes).orderBy(F.desc("total_shuffle_bytes"), *_STAGE)
+    return out.where(F.col("total_shuffle_bytes") > threshold_bytes).orderBy(F.desc("total_shuffle_bytes"), *stage)
 
 
 def long_nodes(dag: DataFrame, minutes: float = LONG_MINUTES) -> DataFrame:
-    keep = ["query_id", "node_id", "node_name", "node_type", "node_duration_minutes"]
-    return dag.where(F.col("node_duration_minutes") >= minutes).select(*keep).orderBy(F.desc("node_duration_minutes"), "query_id", "node_id")
+    keys = shared_keys(dag)
+    return dag.where(F.col("node_duration_minutes") >= minutes).select(*keys, "node_id", "node_name", "node_type", "node_duration_minutes").orderBy(F.desc("node_duration_minutes"), *keys, "node_id")
 
 
 _ISSUE = ("severity", "category", "message", "query_id", "stage_id")
 
 
-def stage_statistics(combined: DataFrame) -> DataFrame:
-    """What the detectors of stages ask, in one pass: spilled bytes and the tasks that spilled, durations, shuffles."""
+def stage_statistics(combined: DataFrame, exact: bool = True) -> DataFrame:
+    """What the detectors of stages ask, in one pass: spilled bytes and the tasks that spilled, durations, shuffles;
+    the median as in skewed_tasks()."""
     spilled = (F.col("memory_bytes_spilled") > 0) | (F.col("disk_bytes_spilled") > 0)
-    return combined.groupBy(*_STAGE).agg(
+    return combined.groupBy(*_stage(combined)).agg(
         F.sum(F.when(spilled, F.col("memory_bytes_spilled"))).alias("memory_bytes_spilled"), F.sum(F.when(spilled, F.col("disk_bytes_spilled"))).alias("disk_bytes_spilled"), F.count_if(spilled).alias("spilled_tasks"),
-        F.median("task_duration_seconds").alias("median"), F.max("task_duration_seconds").alias("longest"), (F.coalesce(F.sum("shuffle_bytes_written"), F.lit(0)) + F.coalesce(F.sum("shuffle_bytes_read"), F.lit(0))).alias("shuffled"),
+        _median(exact).cast("double").alias("median"), F.max("task_duration_seconds").alias("longest"), (F.coalesce(F.sum("shuffle_bytes_written"), F.lit(0)) + F.coalesce(F.sum("shuffle_bytes_read"), F.lit(0))).alias("shuffled"),
     )
 
 
@@ -169,39 +182,47 @@ def _issue(order: int, weight: Column, severity: str, category: Column | str, me
     return F.struct(F.lit(order).alias("o"), weight.cast("double").alias("w"), F.lit(severity).alias("severity"), kind.alias("category"), text.alias("message"), number(query).alias("query_id"), number(stage).alias("stage_id"))
 
 
+def _log(rows: DataFrame) -> list[str]:
+    return [c for c in ("log_name",) if c in rows.columns]
+
+
 def _stage_issues(stats: DataFrame, skew: float, heavy: int) -> DataFrame:
     """Findings of stages: up to three a row, so that no detector reads the tasks again."""
     q, s, ratio = F.col("query_id"), F.col("stage_id"), F.col("longest") / F.col("median")
-    spill_text = ["Stage ", s, " spilled ", R.bytes_text(F.col("memory_bytes_spilled")), " from memory and ", R.bytes_text(F.col("disk_bytes_spilled")), " to disk in ", F.col("spilled_tasks"), " tasks"]
+    spill_text = ["Query ", q, ", stage ", s, " spilled ", R.bytes_text(F.col("memory_bytes_spilled")), " from memory and ", R.bytes_text(F.col("disk_bytes_spilled")), " to disk in ", F.col("spilled_tasks"), " tasks"]
     found = F.array(
         F.when(F.col("spilled_tasks") > 0, _issue(1, F.col("disk_bytes_spilled"), "critical", "Spill", spill_text, q, s)),
-        F.when((F.col("median") > 0) & (ratio >= skew), _issue(3, ratio, "warning", "Task Skew", ["Stage ", s, " has a task of ", R.one_decimal(ratio), " times the median"], q, s)),
-        F.when(F.col("shuffled") > heavy, _issue(4, F.col("shuffled"), "warning", "Heavy Shuffle", ["Stage ", s, " shuffled ", R.bytes_text(F.col("shuffled"))], q, s)),
+        F.when((F.col("median") > 0) & (ratio >= skew), _issue(3, ratio, "warning", "Task Skew", ["Query ", q, ", stage ", s, " has a task of ", R.one_decimal(ratio), " times the median"], q, s)),
+        F.when(F.col("shuffled") > heavy, _issue(4, F.col("shuffled"), "warning", "Heavy Shuffle", ["Query ", q, ", stage ", s, " shuffled ", R.bytes_text(F.col("shuffled"))], q, s)),
     )
-    return stats.select(F.inline(F.array_compact(found)))
+    return stats.select(*_log(stats), F.inline(F.array_compact(found)))
 
 
 def _explosion_issues(explosions: DataFrame) -> DataFrame:
     crossed = (F.col("node_type") == "BroadcastNestedLoopJoin") | (F.coalesce("join_type", F.lit("")) == "Cross")
     names = lambda c, other: F.coalesce(F.nullif(F.array_join(F.transform(c, R.path_name), ", "), F.lit("")), F.lit(other))
     rows = lambda c: R.count_text(F.col(c))
-    message = [F.coalesce("join_type", F.lit("Unknown")), " join of ", names("left_scan_paths", "left"), " (", rows("left_input_rows"), " rows) and ", names("right_scan_paths", "right"), " (", rows("right_input_rows"), " rows) gave ", rows("output_rows"), " rows (", R.one_decimal(F.col("ratio")), "x)"]
-    return explosions.select(F.inline(F.array(_issue(0, F.col("ratio"), "critical", F.when(crossed, "Cartesian Join").otherwise("Row Count Explosion"), message, F.col("query_id")))))
+    listed = lambda c: F.array_join(F.transform(c, lambda k: F.regexp_replace(k, r"#\w+", "")), ", ")
+    both = (F.coalesce(F.size("left_keys"), F.lit(0)) > 0) & (F.coalesce(F.size("right_keys"), F.lit(0)) > 0)
+    keys = F.when(both, F.concat(F.lit(" on "), listed("left_keys"), F.lit(" = "), listed("right_keys"))).otherwise(" without join keys")
+    message = [F.coalesce("join_type", F.lit("Unknown")), " join of ", names("left_scan_paths", "left"), " (", rows("left_input_rows"), " rows) and ", names("right_scan_paths", "right"), " (", rows("right_input_rows"), " rows) gave ", rows("output_rows"), " rows (", R.one_decimal(F.col("ratio")), "x)", keys]
+    return explosions.select(*_log(explosions), F.inline(F.array(_issue(0, F.col("ratio"), "critical", F.when(crossed, "Cartesian Join").otherwise("Row Count Explosion"), message, F.col("query_id")))))
 
 
 def issue_rows(stats: DataFrame, explosions: DataFrame | None = None, repeated: DataFrame | None = None, skew: float = SKEW_RATIO, heavy: int = HEAVY_SHUFFLE_BYTES) -> DataFrame:
-    """One list of findings, ordered by kind and weight: severity, category, message, query_id, stage_id."""
+    """One list of findings, ordered by kind and weight: severity, category, message, query_id, stage_id, and log_name
+    where there are many logs."""
     out = _stage_issues(stats, skew, heavy)
     if explosions is not None:
-        out = out.unionByName(_explosion_issues(explosions))
+        out = out.unionByName(_explosion_issues(explosions), allowMissingColumns=True)
     if repeated is not None:
-        out = out.unionByName(repeated.select(F.inline(F.array(_issue(2, F.col("scan_count"), "warning", "Repeated Scan", [R.path_name(F.col("path")), " is scanned by ", F.col("scan_count"), " queries"])))))
-    return out.orderBy("o", F.desc("w"), "query_id", "stage_id", "message").select(*_ISSUE)
+        out = out.unionByName(repeated.select(*_log(repeated), F.inline(F.array(_issue(2, F.col("scan_count"), "warning", "Repeated Scan", [R.path_name(F.col("path")), " is scanned by ", F.col("scan_count"), " queries"])))), allowMissingColumns=True)
+    return out.orderBy("o", F.desc("w"), "query_id", "stage_id", "message").select(*_log(out), *_ISSUE)
 
 
-def issues(dag: DataFrame, combined: DataFrame) -> DataFrame:
+def issues(dag: DataFrame, combined: DataFrame, exact: bool = True) -> DataFrame:
     """Findings of all detectors with their defaults; shuffles count as heavy above 1 GiB."""
-    return issue_rows(stage_statistics(combined), find_row_explosions(dag), find_repeated_scans(dag))
+    return issue_rows(stage_statistics(combined, exact), find_row_explosions(dag), find_repeated_scans(dag))
 
 
 _TOTALS = ("bytes_read", "records_read", "bytes_written", "records_written", "memory_bytes_spilled", "disk_bytes_spilled", "shuffle_bytes_read", "shuffle_bytes_written", "executor_run_time_seconds", "jvm_gc_time_seconds")

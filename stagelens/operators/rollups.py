@@ -27,10 +27,11 @@ def stage_rollup(combined: DataFrame, keys: tuple[str, ...] = ("query_id", "quer
     return rollup(combined, list(keys)).orderBy(*keys)
 
 
-def wall_and_job_time(jobs: DataFrame) -> DataFrame:
-    """From jobs (job_id, start_ms, end_ms): the sum of their times, the wall time they span, and the idle share."""
-    each = jobs.select("job_id", "start_ms", "end_ms").distinct()
-    out = each.agg(F.sum((F.col("end_ms") - F.col("start_ms")) / F.lit(1000.0)).alias("job_seconds"), ((F.max("end_ms") - F.min("start_ms")) / F.lit(1000.0)).alias("wall_seconds"))
+def wall_and_job_time(jobs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """From jobs (keys, job_id, start_ms, end_ms): the sum of their times, the wall time they span, and the idle
+    share, of all jobs or of each key's."""
+    each = jobs.select(*keys, "job_id", "start_ms", "end_ms").distinct()
+    out = each.groupBy(*keys).agg(F.sum((F.col("end_ms") - F.col("start_ms")) / F.lit(1000.0)).alias("job_seconds"), ((F.max("end_ms") - F.min("start_ms")) / F.lit(1000.0)).alias("wall_seconds"))
     return out.withColumn("pct_idle", F.greatest(F.lit(0.0), (1 - F.col("job_seconds") / F.col("wall_seconds")) * 100.0))
 
 

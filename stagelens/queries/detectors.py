@@ -128,10 +128,10 @@ def node_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {X.TASK}, {_SPILL}, {_SKEW}, {_SHUFFLE}, {_SCAN}, {_REPEATED}
-SELECT 'critical' AS severity, 'Spill' AS category, 'Stage ' || stage_id || ' spilled ' || {bytes_text('memory_bytes_spilled')} || ' from memory and ' || {bytes_text('disk_bytes_spilled')} || ' to disk in ' || task_count || ' tasks' AS message, query_id, stage_id FROM spill
+SELECT 'critical' AS severity, 'Spill' AS category, 'Query ' || query_id || ', stage ' || stage_id || ' spilled ' || {bytes_text('memory_bytes_spilled')} || ' from memory and ' || {bytes_text('disk_bytes_spilled')} || ' to disk in ' || task_count || ' tasks' AS message, query_id, stage_id FROM spill
 UNION ALL SELECT 'warning', 'Repeated Scan', regexp_extract(path, '[^/]+$') || ' is scanned by ' || scan_count || ' queries', NULL, NULL FROM repeated
-UNION ALL SELECT 'warning', 'Task Skew', 'Stage ' || stage_id || ' has a task of ' || {text1('skew_ratio')} || ' times the median', query_id, stage_id FROM skew
-UNION ALL SELECT 'warning', 'Heavy Shuffle', 'Stage ' || stage_id || ' shuffled ' || {bytes_text('total_shuffle_bytes')}, query_id, stage_id FROM heavy WHERE total_shuffle_bytes > 1073741824""")
+UNION ALL SELECT 'warning', 'Task Skew', 'Query ' || query_id || ', stage ' || stage_id || ' has a task of ' || {text1('skew_ratio')} || ' times the median', query_id, stage_id FROM skew
+UNION ALL SELECT 'warning', 'Heavy Shuffle', 'Query ' || query_id || ', stage ' || stage_id || ' shuffled ' || {bytes_text('total_shuffle_bytes')}, query_id, stage_id FROM heavy WHERE total_shuffle_bytes > 1073741824""")
 def issues_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.issue_rows(D.stage_statistics(X.tasks(spark, sf_dir)), repeated=D.repeated_scans(_scans(spark, sf_dir)))
 

@@ -78,10 +78,10 @@ def count_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.table(spark, sf_dir, "documents").select("doc_id", "source", R.count_text(F.col("n_chars")).alias("rows"))
 
 
-@query(f"""WITH {X.METRIC}, a AS (SELECT query_id, node_id, list(upd ORDER BY line_no) AS u, list(DISTINCT metric_name) AS m FROM metric WHERE line_no % 20 < 3 GROUP BY 1, 2),
+@query(f"""WITH {X.METRIC}, a AS (SELECT query_id, node_id, list(upd ORDER BY line_no) AS u, list(DISTINCT metric_name) AS m FROM metric GROUP BY 1, 2),
 b AS (SELECT query_id, node_id, unnest(u) AS accumulators_value, m FROM a) SELECT query_id, node_id, accumulators_value, unnest(m) AS accumulator_totals_metric_name FROM b""")
 def csv_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.metrics(spark, sf_dir).where("line_no % 20 < 3").groupBy("query_id", "node_id").agg(F.collect_list(F.struct(F.col("upd").alias("value"))).alias("accumulators"), F.collect_set(F.struct("metric_name")).alias("accumulator_totals"))
+    rows = X.metrics(spark, sf_dir).groupBy("query_id", "node_id").agg(F.collect_list(F.struct(F.col("upd").alias("value"))).alias("accumulators"), F.collect_set(F.struct("metric_name")).alias("accumulator_totals"))
     return sinks.flatten_dag(rows)
 
 
@@ -91,7 +91,7 @@ def stage_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumns({c: R.exact_round(F.col(c), 3) for c in ("mean", "median")})
 
 
-@query()
+@query("""SELECT date_trunc('day', ts) AS start, CAST(user_id % 10 AS VARCHAR) AS log_name, event_type AS event, count(*) AS n FROM events GROUP BY ALL""")
 def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of events as a stream gives them, run to the end of what is there."""
     import uuid

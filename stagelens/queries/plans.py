@@ -11,7 +11,7 @@ from ..plans import parser
 from ..plans.details import READERS
 from .registry import query
 
-_JOIN_PLAN = """== Physical Plan ==
+JOIN_PLAN = """== Physical Plan ==
 AdaptiveSparkPlan (14)
 +- == Final Plan ==
    ResultQueryStage (13), Statistics(sizeInBytes=8.0 EiB)
@@ -96,14 +96,14 @@ def _info(name: str, children: list, metrics: int = 1) -> dict:
     return {"nodeName": name, "simpleString": name, "children": children, "metrics": [{"name": "number of output rows", "accumulatorId": hash(name) % 1000, "metricType": "sum"}] * metrics}
 
 
-_JOIN_INFO = _info("AdaptiveSparkPlan", [_info("ResultQueryStage", [_info("WholeStageCodegen (4)", [_info("SortMergeJoin", [
+JOIN_INFO = _info("AdaptiveSparkPlan", [_info("ResultQueryStage", [_info("WholeStageCodegen (4)", [_info("SortMergeJoin", [
     _info("InputAdapter", [_info("WholeStageCodegen (3)", [_info("Sort", [_info("InputAdapter", [_info("AQEShuffleRead", [_info("ShuffleQueryStage", [_info("Exchange", [_info("Scan parquet ", [])])])])])])])]),
     _info("InputAdapter", [_info("WholeStageCodegen (2)", [_info("Sort", [_info("InputAdapter", [_info("ShuffleQueryStage", [_info("Exchange", [_info("WholeStageCodegen (1)", [_info("Project", [_info("Range", [])])])])])])])])]),
 ])])], 0)], 0)
 
 
 def _plans(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("own", 1, _JOIN_PLAN, json.dumps(_JOIN_INFO), True)], "log_name string, query_id long, plan string, info string, is_final boolean")
+    return spark.createDataFrame([("own", 1, JOIN_PLAN, json.dumps(JOIN_INFO), True)], "log_name string, query_id long, plan string, info string, is_final boolean")
 
 
 @query()

@@ -55,16 +55,17 @@ def query_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {X.METRIC},
-plan AS (SELECT DISTINCT query_id, node_id, metric_name, accumulator_id, metric_type FROM metric WHERE line_no % 5 <> 0),
-t AS (SELECT stage_id, task_id, accumulator_id, upd, upd * 2 AS v FROM metric WHERE line_no % 50 = 1),
-d AS (SELECT query_id, accumulator_id, sum(upd) AS u FROM metric WHERE line_no % 11 = 0 GROUP BY 1, 2)
+plan AS (SELECT DISTINCT query_id, node_id, metric_name, accumulator_id, metric_type FROM metric),
+t AS (SELECT stage_id, task_id, accumulator_id, upd, upd * 2 AS v FROM metric WHERE metric_type <> 'average'),
+d AS (SELECT query_id, accumulator_id, sum(upd) AS u FROM metric WHERE metric_type = 'average' GROUP BY 1, 2)
 SELECT plan.query_id, node_id, metric_name, plan.accumulator_id, metric_type, stage_id, task_id, CAST(coalesce(v, u) AS BIGINT) AS value, CAST(coalesce(upd, u) AS BIGINT) AS "update"
 FROM plan LEFT JOIN t ON t.accumulator_id = plan.accumulator_id LEFT JOIN d ON d.query_id = plan.query_id AND d.accumulator_id = plan.accumulator_id""")
 def accumulator_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event is an update: averages of the driver's, all others of tasks'."""
     m = X.metrics(spark, sf_dir)
-    plan = m.where("line_no % 5 <> 0").select("query_id", "node_id", "metric_name", "accumulator_id", "metric_type").distinct()
-    tasks = m.where("line_no % 50 = 1").select("stage_id", "task_id", "accumulator_id", F.col("upd").alias("update"), (F.col("upd") * 2).alias("value"))
-    driver = m.where("line_no % 11 = 0").groupBy("query_id", "accumulator_id").agg(F.sum("upd").alias("driver_update")).withColumn("driver_value", F.col("driver_update"))
+    plan = m.select("query_id", "node_id", "metric_name", "accumulator_id", "metric_type").distinct()
+    tasks = m.where("metric_type <> 'average'").select("stage_id", "task_id", "accumulator_id", F.col("upd").alias("update"), (F.col("upd") * 2).alias("value"))
+    driver = m.where("metric_type = 'average'").groupBy("query_id", "accumulator_id").agg(F.sum("upd").alias("driver_update")).withColumn("driver_value", F.col("driver_update"))
     return T.accumulator_long(plan, tasks, driver, ())
 
 
@@ -192,11 +193,16 @@ def stage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sums(P.stage_rollup(X.tasks(spark, sf_dir), ("query_id", "job_id", "stage_id")))
 
 
-@query(f"""WITH {X.JOB} SELECT {rounded('sum((end_ms - start_ms) / 1000.0)', 2)} AS job_seconds, {rounded('(max(end_ms) - min(start_ms)) / 1000.0', 2)} AS wall_seconds,
-{rounded('greatest(0.0, (1 - sum((end_ms - start_ms) / 1000.0) / ((max(end_ms) - min(start_ms)) / 1000.0)) * 100)', 3)} AS pct_idle FROM (SELECT DISTINCT job_id, start_ms, end_ms FROM job WHERE job_id % 100 = 1)""")
+_WALL = f"""{rounded('sum((end_ms - start_ms) / 1000.0)', 2)} AS job_seconds, {rounded('(max(end_ms) - min(start_ms)) / 1000.0', 2)} AS wall_seconds,
+{rounded('greatest(0.0, (1 - sum((end_ms - start_ms) / 1000.0) / ((max(end_ms) - min(start_ms)) / 1000.0)) * 100)', 3)} AS pct_idle FROM (SELECT DISTINCT query_id, job_id, start_ms, end_ms FROM job)"""
+
+
+@query(f"WITH {X.JOB} SELECT NULL AS query_id, {_WALL} UNION ALL SELECT query_id, {_WALL} GROUP BY query_id")
 def wall_vs_job_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = P.wall_and_job_time(X.jobs(spark, sf_dir).where("job_id % 100 = 1"))
-    return out.select(R.exact_round(F.col("job_seconds"), 2).alias("job_seconds"), R.exact_round(F.col("wall_seconds"), 2).alias("wall_seconds"), R.exact_round(F.col("pct_idle"), 3).alias("pct_idle"))
+    """Of all jobs, and of each query's."""
+    jobs = X.jobs(spark, sf_dir)
+    out = P.wall_and_job_time(jobs, ("query_id",)).unionByName(P.wall_and_job_time(jobs), allowMissingColumns=True)
+    return out.select("query_id", R.exact_round(F.col("job_seconds"), 2).alias("job_seconds"), R.exact_round(F.col("wall_seconds"), 2).alias("wall_seconds"), R.exact_round(F.col("pct_idle"), 3).alias("pct_idle"))
 
 
 @query(f"""WITH {X.TASK}, s AS (SELECT query_id, job_id, stage_id, min(start_ms) AS stage_start, max(start_ms) AS stage_end FROM task GROUP BY 1, 2, 3)

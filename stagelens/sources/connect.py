@@ -17,34 +17,57 @@ from ..functions import readable as R
 from . import schemas as S
 
 # First words of node names, as a vectorised engine and as Spark print them, and our node types.
-_VECTORISED = """
-PhotonScan = Scan
-PhotonGroupingAgg = HashAggregate
-PhotonAgg = HashAggregate
-PhotonSort = Sort
-PhotonShuffleExchangeSink = Exchange
-PhotonShuffleExchangeSource = Exchange
-PhotonBroadcastHashJoin = BroadcastHashJoin
-PhotonSortMergeJoin = SortMergeJoin
-PhotonBroadcastNestedLoopJoin = BroadcastNestedLoopJoin
-PhotonProject = Project
-PhotonFilter = Filter
-PhotonBroadcastExchange = BroadcastExchange
-PhotonUnion = Union
-PhotonExpand = Expand
-PhotonTopK = TakeOrderedAndProject
-PhotonWindow = Window
-PhotonShuffleMapStage = Exchange
-PhotonResultStage = ResultQueryStage
-PhotonColumnarToRow = ColumnarToRow
-"""
-_AS_THEY_ARE = """
-AdaptiveSparkPlan ResultQueryStage ShuffleQueryStage BroadcastQueryStage TableCacheQueryStage AQEShuffleRead
-CollectLimit GlobalLimit LocalLimit Project Filter Sort Exchange BroadcastExchange BroadcastHashJoin SortMergeJoin
-BroadcastNestedLoopJoin CartesianProduct HashAggregate ObjectHashAggregate Union Coalesce ReusedExchange Scan
-LocalTableScan Range Window Expand TakeOrderedAndProject ColumnarToRow
-""".split()
-NODE_TYPES = dict([tuple(x.strip() for x in line.split("=")) for line in _VECTORISED.strip().splitlines()], **{n: n for n in _AS_THEY_ARE})
+NODE_TYPES = {
+    "PhotonScan": "Scan",
+    "PhotonGroupingAgg": "HashAggregate",
+    "PhotonAgg": "HashAggregate",
+    "PhotonSort": "Sort",
+    "PhotonShuffleExchangeSink": "Exchange",
+    "PhotonShuffleExchangeSource": "Exchange",
+    "PhotonBroadcastHashJoin": "BroadcastHashJoin",
+    "PhotonSortMergeJoin": "SortMergeJoin",
+    "PhotonBroadcastNestedLoopJoin": "BroadcastNestedLoopJoin",
+    "PhotonProject": "Project",
+    "PhotonFilter": "Filter",
+    "PhotonBroadcastExchange": "BroadcastExchange",
+    "PhotonUnion": "Union",
+    "PhotonExpand": "Expand",
+    "PhotonTopK": "TakeOrderedAndProject",
+    "PhotonWindow": "Window",
+    "PhotonShuffleMapStage": "Exchange",
+    "PhotonResultStage": "ResultQueryStage",
+    "PhotonColumnarToRow": "ColumnarToRow",
+    "AdaptiveSparkPlan": "AdaptiveSparkPlan",
+    "ResultQueryStage": "ResultQueryStage",
+    "ShuffleQueryStage": "ShuffleQueryStage",
+    "BroadcastQueryStage": "BroadcastQueryStage",
+    "TableCacheQueryStage": "TableCacheQueryStage",
+    "AQEShuffleRead": "AQEShuffleRead",
+    "CollectLimit": "CollectLimit",
+    "GlobalLimit": "GlobalLimit",
+    "LocalLimit": "LocalLimit",
+    "Project": "Project",
+    "Filter": "Filter",
+    "Sort": "Sort",
+    "Exchange": "Exchange",
+    "BroadcastExchange": "BroadcastExchange",
+    "BroadcastHashJoin": "BroadcastHashJoin",
+    "SortMergeJoin": "SortMergeJoin",
+    "BroadcastNestedLoopJoin": "BroadcastNestedLoopJoin",
+    "CartesianProduct": "CartesianProduct",
+    "HashAggregate": "HashAggregate",
+    "ObjectHashAggregate": "ObjectHashAggregate",
+    "Union": "Union",
+    "Coalesce": "Coalesce",
+    "ReusedExchange": "ReusedExchange",
+    "Scan": "Scan",
+    "LocalTableScan": "LocalTableScan",
+    "Range": "Range",
+    "Window": "Window",
+    "Expand": "Expand",
+    "TakeOrderedAndProject": "TakeOrderedAndProject",
+    "ColumnarToRow": "ColumnarToRow",
+}
 # Join types of a logical plan by their number, and as names in a physical one.
 JOIN_TYPES = {1: "Inner", 2: "FullOuter", 3: "LeftOuter", 4: "RightOuter", 5: "LeftAnti", 6: "LeftSemi", 7: "Cross"}
 _JOINS = ("BroadcastHashJoin", "SortMergeJoin", "BroadcastNestedLoopJoin")

@@ -77,8 +77,32 @@ def test_empty_relations_have_no_findings(spark):
 
 
 def test_reach_is_not_cut_in_deep_plans(spark):
-    edges = spark.sql("SELECT 1 AS query_id, id AS parent_id, id + 1 AS child_id FROM range(105)")
+    edges = spark.sql("SELECT 1 AS query_id, id AS parent_id, id + 1 AS child_id FROM range(5000)")
     starts = spark.sql("SELECT 1 AS query_id, 0L AS node_id")
-    assert G.reach(starts, edges).count() == 106
-    with pytest.raises(Exception, match="RECURSION_LEVEL_LIMIT_EXCEEDED"):
-        G.reach(starts, edges, depth=5).count()
+    assert G.reach(starts, edges).count() == 5001
+
+
+def test_reach_ends_in_cycles_and_keeps_logs_apart(spark):
+    edges = spark.createDataFrame([("a", 1, 1, 2), ("a", 1, 2, 1), ("b", 1, 1, 3)], "log_name string, query_id long, parent_id long, child_id long")
+    starts = spark.createDataFrame([("a", 1, "s", 1), ("b", 1, "s", 1), ("b", 1, "s", 1), ("c", 1, "t", 9)], "log_name string, query_id long, start string, node_id long")
+    got = sorted(map(tuple, G.reach(starts, edges).collect()))
+    assert got == [("a", 1, "s", 1), ("a", 1, "s", 2), ("b", 1, "s", 1), ("b", 1, "s", 3), ("c", 1, "t", 9)]
+
+
+def test_scans_below_a_deep_chain(spark):
+    nodes = [(1, 0, "SortMergeJoin")] + [(1, k, "Project") for k in range(1, 131)] + [(1, 131, "Scan"), (1, 200, "Scan")]
+    edges = [(1, 0, 0, 1), (1, 0, 1, 200)] + [(1, k, 0, k + 1) for k in range(1, 131)]
+    n = spark.createDataFrame(nodes, "query_id long, node_id long, node_type string")
+    e = spark.createDataFrame(edges, "query_id long, parent_id long, child_ord int, child_id long")
+    assert sorted(r.node_id for r in D.source_scans(n, spark.sql("SELECT 1L AS query_id, 0L AS node_id"), e).collect()) == [131, 200]
+
+
+def test_stages_of_two_logs_stay_apart(spark):
+    """Two applications number their queries and stages alike."""
+    columns = "log_name string, query_id long, stage_id long, task_duration_seconds double, memory_bytes_spilled long, disk_bytes_spilled long, shuffle_bytes_read long, shuffle_bytes_written long"
+    tasks = spark.createDataFrame([(log, 0, 0, s, 10 * k, 0, 1, 1) for k, log in ((1, "a"), (2, "b")) for s in (1.0, 1.0, 1.0)], columns)
+    assert [(r.log_name, r.memory_bytes_spilled) for r in D.spill(tasks).collect()] == [("a", 30), ("b", 60)]
+    assert D.skewed_tasks(tasks, 1.0).count() == D.heavy_shuffles(tasks).count() == 2
+    reads = spark.createDataFrame([("a", 0, "[1] Scan", 5, 1), ("b", 0, "[1] Scan", 7, 1)], "log_name string, query_id long, node_name string, bytes_read long, records_read long")
+    scans = spark.createDataFrame([("a", 0, "[1] Scan", "x"), ("b", 0, "[1] Scan", "y")], "log_name string, query_id long, node_name string, paths string")
+    assert [(r.log_name, r.bytes_read, r.paths) for r in D.largest_scans(reads, scans).collect()] == [("b", 7, "y"), ("a", 5, "x")]

@@ -4,7 +4,7 @@ import pytest
 from stagelens.plans import details, parser
 from stagelens.plans.text import call, listed, ordering, orderings, split_top
 from stagelens.plans.tree import NODE_TYPES, parse_tree, tree_lines
-from stagelens.queries.plans import _JOIN_INFO, _JOIN_PLAN
+from stagelens.queries.plans import JOIN_INFO, JOIN_PLAN
 
 
 def test_lists_are_split_outside_brackets():
@@ -21,7 +21,7 @@ def test_calls_and_orders():
 
 
 def test_tree_keeps_the_final_plan_only():
-    nodes = parse_tree(tree_lines(_JOIN_PLAN))
+    nodes = parse_tree(tree_lines(JOIN_PLAN))
     assert list(nodes) == [13, 12, 5, 4, 3, 2, 1, 11, 10, 9, 8, 7]
     assert nodes[12].children == [5, 11] and nodes[13].children == [12]
 
@@ -56,7 +56,7 @@ def test_unknown_operators():
 
 
 def rows():
-    return {r["node_id"]: r for r in parser.parse_plan(_JOIN_PLAN, _JOIN_INFO)}
+    return {r["node_id"]: r for r in parser.parse_plan(JOIN_PLAN, JOIN_INFO)}
 
 
 def test_plan_rows():

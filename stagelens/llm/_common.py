@@ -20,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset and the session
+    is local (tests). Raises on a cluster without it, as executors would write to disks of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="stagelens-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -37,13 +40,19 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other has; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/stagelens/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and returns the table that was written: lineage ends there, so a lost
     executor costs a re-read and not a recomputation. The files go when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stagelens/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from stagelens.llm import bpe, decontam, langid, near_dedup, pii
-from stagelens.llm._common import shared_dir, table
+from stagelens.llm._common import new_folder, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +49,7 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, from documents to token ids."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/stagelens/pipeline-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")

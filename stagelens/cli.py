@@ -13,6 +13,10 @@ from .operators import alerts, detect, history
 from .sources import sinks, storage
 
 
+#: Findings that a report lists at most; the feed itself has all.
+MOST_ISSUES = 200
+
+
 def _spark() -> SparkSession:
     return SparkSession.builder.appName("stagelens").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
@@ -28,12 +32,18 @@ def _as_text(summary: dict) -> str:
     for q in summary["queries"]:
         lines.append(f"Query {q['query_id']} ({q.get('query_function')}): {q.get('duration_seconds')} s")
         lines += [f"  {n['node_name']}  {n['duration_minutes']:.2f} min" for n in q["nodes"]]
-    return "\n".join([*lines, "", "Totals", *(f"  {k}: {v}" for k, v in summary["totals"].items())])
+    lines += ["", "Totals", *(f"  {k}: {v}" for k, v in summary["totals"].items())]
+    return "\n".join([*lines, "", "Issues", *(f"  {i['severity']}: {i['category']}: {i['message']}" for i in summary["issues"] or [])])
+
+
+def _issues(out: api.Relations) -> list[dict]:
+    return [r.asDict() for r in detect.issues(out.dag, out.combined).limit(MOST_ISSUES).collect()]
 
 
 def _analyze(a: argparse.Namespace) -> int:
     out = api.get(_spark(), a.log_dir, a.log_file)
     summary = detect.summary(out.dag, out.combined, out.name)
+    summary["issues"] = _issues(out)
     text = json.dumps(summary, indent=2, default=str) if a.format == "json" else _as_text(summary)
     storage.write_text(a.out_file, text) if a.out_file else print(text)
     return 0
@@ -62,7 +72,8 @@ def _check_alerts(a: argparse.Namespace) -> int:
 
 
 def _viz(a: argparse.Namespace) -> int:
-    page = render.plot_dag(api.get(_spark(), a.log_dir, a.log_file).dag, a.query_id, a.metric, a.dark)
+    out = api.get(_spark(), a.log_dir, a.log_file)
+    page = render.plot_dag(out.dag, a.query_id, a.metric, a.dark, _issues(out))
     storage.write_text(a.out_file, page)
     print(a.out_file)
     return 0

@@ -12,11 +12,6 @@ from . import surrogate as X
 from .registry import query, rounded
 
 
-@query(f"WITH {X.RUNS} SELECT CAST(run_at AS VARCHAR) AS run_at, log_name, n_tasks, bytes_read, n_queries FROM run")
-def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.runs(spark, sf_dir).withColumn("run_at", F.col("run_at").cast("string"))
-
-
 @query(f"WITH {X.RUNS} SELECT CAST(run_at AS VARCHAR) AS run_at, log_name, n_tasks FROM (SELECT *, row_number() OVER (PARTITION BY log_name ORDER BY run_at DESC) AS n FROM run) WHERE n <= 5")
 def history_last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = X.runs(spark, sf_dir).withColumn("run_id", F.lit(""))

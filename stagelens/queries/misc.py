@@ -6,28 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import readable as R
+from ..operators import detect as D
 from ..sources import eventlog as E
 from ..sources import sinks
 from . import surrogate as X
 from .registry import query, rounded
 
 
-@query("SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.table(spark, sf_dir, "events").select("event_id", "event_type", F.from_json("props", "k bigint")["k"].alias("k"))
-
-
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as lines of a log: a start for each user's log, then jobs, ends and others."""
     e = X.table(spark, sf_dir, "events")
-    kind = F.when(F.col("event_type") == "signup", "SparkListenerApplicationStart").when(F.col("event_type") == "click", "SparkListenerJobStart").when(F.col("event_type") == "view", "SparkListenerJobEnd").otherwise("SparkListenerOther")
+    kind = F.when(F.col("event_type") == "signup", "SparkListenerApplicationStart").when(F.col("event_type") == "click", "SparkListenerJobStart").when(F.col("event_type") == "view", "SparkListenerJobEnd").when((F.col("event_type") == "purchase") & (F.col("user_id") % 10 < 7), "SparkListenerSQLExecutionStart").otherwise("SparkListenerOther")
     ms = X.ms("ts")
     value = F.to_json(F.struct(kind.alias("Event"), F.col("event_id").alias("Job ID"), ms.alias("Submission Time"), (ms + 5).alias("Completion Time"), F.array("event_id").alias("Stage IDs"), ms.alias("Timestamp")))
     return e.select((F.col("user_id") % 10).cast("string").alias("log_name"), F.col("event_id").alias("place"), value.alias("value")).withColumn("event", E.event_of(F.col("value")))
 
 
 _LINE = """line AS (SELECT CAST(user_id % 10 AS VARCHAR) AS log_name, event_id AS place, epoch_us(ts) // 1000 AS ms,
-  CASE event_type WHEN 'signup' THEN 'SparkListenerApplicationStart' WHEN 'click' THEN 'SparkListenerJobStart' WHEN 'view' THEN 'SparkListenerJobEnd' ELSE 'SparkListenerOther' END AS event FROM events),
+  CASE event_type WHEN 'signup' THEN 'SparkListenerApplicationStart' WHEN 'click' THEN 'SparkListenerJobStart' WHEN 'view' THEN 'SparkListenerJobEnd' WHEN 'purchase' THEN CASE WHEN user_id % 10 < 7 THEN 'SparkListenerSQLExecutionStart' ELSE 'SparkListenerOther' END ELSE 'SparkListenerOther' END AS event FROM events),
 begin AS (SELECT log_name, min(place) AS begin FROM line WHERE event = 'SparkListenerApplicationStart' GROUP BY 1),
 after AS (SELECT line.* FROM line JOIN begin USING (log_name) WHERE place > begin)"""
 
@@ -38,12 +34,7 @@ def log_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.jobs(E.after_start(_lines(spark, sf_dir))).withColumn("stages", F.array_join(F.col("stages").cast("array<string>"), ","))
 
 
-@query(f"WITH {_LINE} SELECT event, count(*) AS n FROM line GROUP BY 1")
-def event_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir).groupBy("event").agg(F.count("*").alias("n"))
-
-
-@query(f"WITH {_LINE} SELECT log_name, false AS has_queries FROM line GROUP BY 1")
+@query(f"WITH {_LINE} SELECT log_name, max(event = 'SparkListenerSQLExecutionStart') AS has_queries FROM line GROUP BY 1")
 def log_has_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.has_queries(_lines(spark, sf_dir))
 
@@ -85,10 +76,11 @@ def csv_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.flatten_dag(rows)
 
 
-@query(f"WITH {X.TASK} SELECT query_id, stage_id, {rounded('avg(task_duration_seconds)', 3)} AS mean, {rounded('median(task_duration_seconds)', 3)} AS median FROM task GROUP BY 1, 2")
+@query(f"""WITH {X.TASK} SELECT query_id, stage_id, CAST(sum(memory_bytes_spilled) FILTER (WHERE memory_bytes_spilled > 0 OR disk_bytes_spilled > 0) AS BIGINT) AS memory_bytes_spilled,
+CAST(sum(disk_bytes_spilled) FILTER (WHERE memory_bytes_spilled > 0 OR disk_bytes_spilled > 0) AS BIGINT) AS disk_bytes_spilled, count(*) FILTER (WHERE memory_bytes_spilled > 0 OR disk_bytes_spilled > 0) AS spilled_tasks,
+{rounded('median(task_duration_seconds)', 3)} AS median, {rounded('max(task_duration_seconds)', 3)} AS longest, CAST(sum(shuffle_bytes_written) + sum(shuffle_bytes_read) AS BIGINT) AS shuffled FROM task GROUP BY 1, 2""")
 def stage_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = X.tasks(spark, sf_dir).groupBy("query_id", "stage_id").agg(F.avg("task_duration_seconds").alias("mean"), F.median("task_duration_seconds").alias("median"))
-    return t.withColumns({c: R.exact_round(F.col(c), 3) for c in ("mean", "median")})
+    return D.stage_statistics(X.tasks(spark, sf_dir)).withColumns({c: R.exact_round(F.col(c), 3) for c in ("median", "longest")})
 
 
 @query("""SELECT date_trunc('day', ts) AS start, CAST(user_id % 10 AS VARCHAR) AS log_name, event_type AS event, count(*) AS n FROM events GROUP BY ALL""")

@@ -7,8 +7,6 @@ second reads twice the bytes. Each row of lineitem is a finished task.
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +16,7 @@ from ..functions import readable as R
 from ..operators import detect as D
 from ..operators import history as H
 from ..sources import eventlog as E
+from ..sources.shared import new_folder
 from . import surrogate as X
 from .plans import JOIN_INFO, JOIN_PLAN
 from .registry import query, rounded
@@ -83,19 +82,9 @@ def _task_lines(spark: SparkSession, sf_dir: str, log: int) -> DataFrame:
     return t.select(F.to_json(line).alias("value"))
 
 
-def _folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or one of our own where the session is local."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="stagelens-")
-    return f"{shared.rstrip('/')}/own-log-{uuid.uuid4().hex}"
-
-
 def written(spark: SparkSession, sf_dir: str) -> str:
     """Writes both logs, as rolling logs of two parts, and returns their folder."""
-    folder = _folder(spark)
+    folder = new_folder(spark, "own-log")
     for log, name in enumerate(LOGS):
         own = f"{folder}/eventlog_v2_{name}"
         lines = [json.dumps(e) for e in _head(log)]

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.detect import detail
 from ..plans import parser
 from ..plans.details import READERS
 from .registry import query
@@ -106,16 +107,32 @@ def _plans(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("own", 1, JOIN_PLAN, json.dumps(JOIN_INFO), True)], "log_name string, query_id long, plan string, info string, is_final boolean")
 
 
-@query()
+@query("""SELECT CAST(1 AS BIGINT) AS query_id, * FROM (VALUES
+  (13, 'ResultQueryStage', '12', NULL, NULL), (12, 'SortMergeJoin', '5,11', 4, 1), (5, 'Sort', '4', 3, 1), (4, 'AQEShuffleRead', '3', NULL, 1), (3, 'ShuffleQueryStage', '2', NULL, 1), (2, 'Exchange', '1', NULL, 1), (1, 'Scan', '', NULL, 1),
+  (11, 'Sort', '10', 2, 1), (10, 'ShuffleQueryStage', '9', NULL, 1), (9, 'Exchange', '8', NULL, 1), (8, 'Project', '7', 1, 1), (7, 'Range', '', 1, 1),
+  (100001, 'WholeStageCodegen', NULL, 1, 1), (100002, 'WholeStageCodegen', NULL, 2, 1), (100003, 'WholeStageCodegen', NULL, 3, 1), (100004, 'WholeStageCodegen', NULL, 4, 1)
+) n(node_id, node_type, child_nodes, whole_stage_codegen_id, n_metrics)""")
 def plan_nodes_own(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes, children, code generation and metrics of a join's plan."""
     nodes = parser.plan_nodes(_plans(spark))
     return nodes.select("query_id", "node_id", "node_type", F.array_join(F.col("child_nodes").cast("array<string>"), ",").alias("child_nodes"), "whole_stage_codegen_id", F.size("accumulators").alias("n_metrics"))
 
 
-@query()
+@query("""SELECT * FROM (VALUES
+  (1, 'output', '["a#1L","b#2"]'), (1, 'location.location', '["/data/t"]'), (1, 'pushed_filters', '["IsNotNull(a)","In(b, [x,y])"]'), (2, 'arguments.partitioning', 'hashpartitioning'), (2, 'arguments.n_partitions', '200'), (2, 'arguments.plan_identifier', '11'),
+  (4, 'arguments', 'coalesced and skewed'), (5, 'arguments.global_sort', 'false'), (9, 'arguments.partitioning', 'rangepartitioning'), (9, 'arguments.n_partitions', '8'), (9, 'arguments.exchange_type', 'REPARTITION_BY_COL'), (11, 'arguments.global_sort', 'true'),
+  (12, 'join_type', 'Inner'), (12, 'left_keys', '["a#1L"]'), (12, 'right_keys', '["id#3L"]')) d(node_id, field, value)""")
 def plan_details_own(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parser.plan_nodes(_plans(spark)).where("details is not null").select("node_id", "node_type", "details")
+    """Fields of the operators' details, as the detail accessor reads them."""
+    asked = {1: ("output", "location.location", "pushed_filters"), 2: ("arguments.partitioning", "arguments.n_partitions", "arguments.plan_identifier"), 4: ("arguments",), 5: ("arguments.global_sort",),
+             9: ("arguments.partitioning", "arguments.n_partitions", "arguments.exchange_type"), 11: ("arguments.global_sort",), 12: ("join_type", "left_keys", "right_keys")}
+    nodes = parser.plan_nodes(_plans(spark)).where("details is not null")
+    out = None
+    for node, fields in asked.items():
+        for field in fields:
+            one = nodes.where(F.col("node_id") == node).select("node_id", F.lit(field).alias("field"), detail(field).alias("value"))
+            out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query()

@@ -157,19 +157,6 @@ def task_node_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.task_nodes(dag).select("query_id", "stage_id", "task_id", F.array_join("nodes", ",").alias("nodes"))
 
 
-@query(f"""WITH {X.TASK}
-SELECT query_id, t.job_id, t.stage_id, task_id, executor_id, strftime(make_timestamp(t.start_ms * 1000), '%Y-%m-%dT%H:%M:%S') AS task_start_timestamp,
-  {rounded('task_duration_seconds', 3)} AS task_duration_seconds, bytes_read, shuffle_bytes_read, s.n AS stage_tasks, j.first AS job_start_timestamp
-FROM task t LEFT JOIN (SELECT stage_id, count(*) AS n FROM task GROUP BY 1) s ON s.stage_id = t.stage_id
-LEFT JOIN (SELECT job_id, strftime(make_timestamp(min(start_ms) * 1000), '%Y-%m-%dT%H:%M:%S') AS first FROM task GROUP BY 1) j ON j.job_id = t.job_id""")
-def combined_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = X.tasks(spark, sf_dir)
-    stages = t.groupBy("stage_id").agg(F.count("*").alias("stage_tasks"))
-    jobs = t.groupBy("job_id").agg(R.iso_seconds(F.min("start_ms")).alias("job_start_timestamp"))
-    out = t.join(stages, "stage_id", "left").join(jobs, "job_id", "left")
-    return out.select("query_id", "job_id", "stage_id", "task_id", "executor_id", R.iso_seconds(F.col("start_ms")).alias("task_start_timestamp"), R.exact_round(F.col("task_duration_seconds"), 3).alias("task_duration_seconds"), "bytes_read", "shuffle_bytes_read", "stage_tasks", "job_start_timestamp")
-
-
 @query(f"""WITH {X.JOB}, g AS (SELECT query_id, greatest(0, start_ms - lag(end_ms) OVER (PARTITION BY query_id ORDER BY job_id, start_ms)) AS gap FROM (SELECT DISTINCT query_id, job_id, start_ms, end_ms FROM job))
 SELECT query_id, CAST(coalesce(sum(gap), 0) AS BIGINT) AS idle_time_ms FROM g GROUP BY 1""")
 def job_idle_time(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import readable as R
+from ..sources.shared import new_folder
 from . import surrogate as X
 from .registry import query, rounded
 
@@ -104,9 +107,49 @@ def w14_pandas_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus IN (SELECT max(o_orderstatus) FROM orders) GROUP BY 1")
 def w15_partition_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _t(spark, sf_dir, "orders")
-    dim = o.agg(F.max("o_orderstatus").alias("o_orderstatus"))
-    return o.join(F.broadcast(dim), "o_orderstatus").groupBy("o_orderstatus").agg(F.count("*").alias("n"))  # one row
+    """A table written by status, joined with one status that is known at run time: the other folders aren't read."""
+    o, path = _t(spark, sf_dir, "orders"), new_folder(spark, "by-status")
+    o.select("o_orderkey", "o_orderstatus").write.partitionBy("o_orderstatus").parquet(path)
+    dim = o.agg(F.max("o_orderstatus").alias("status")).where("status is not null")
+    by_status = spark.read.schema("o_orderkey long, o_orderstatus string").parquet(path)
+    return by_status.join(F.broadcast(dim), F.col("o_orderstatus") == F.col("status")).groupBy("o_orderstatus").agg(F.count("*").alias("n"))  # dim has one row
+
+
+@query("SELECT count(*) AS n, CAST(max(o_orderkey) AS BIGINT) AS last FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)")
+def w16_scalar_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _t(spark, sf_dir, "orders")
+    return orders.where(F.col("o_totalprice") > orders.agg(F.avg("o_totalprice")).scalar()).agg(F.count("*").alias("n"), F.max("o_orderkey").cast("bigint").alias("last"))
+
+
+@query("SELECT c_nationkey, c_custkey, rank FROM (SELECT c_nationkey, c_custkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) AS rank FROM customer) WHERE rank <= 3")
+def w16_window_group_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("c_nationkey").orderBy(F.desc("c_custkey"))
+    return _t(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.rank().over(w).cast("bigint").alias("rank")).where("rank <= 3")
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+def w16_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1 UNION ALL SELECT n_regionkey, count(*) FROM nation GROUP BY 1")
+def w16_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small table that is cached and asked twice."""
+    nation = _t(spark, sf_dir, "nation").select("n_regionkey").cache()  # 25 rows
+    counts = nation.groupBy("n_regionkey").agg(F.count("*").alias("n"))
+    return counts.unionByName(counts)
+
+
+@query("SELECT n_regionkey, count(*) AS n FROM nation WHERE n_nationkey < 10 GROUP BY 1 UNION ALL SELECT n_regionkey + 100, count(*) FROM nation GROUP BY 1")
+def w16_write_append_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that is written, appended to, and of which one partition is written over."""
+    n, path = _t(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long"), F.col("n_nationkey").cast("long")), new_folder(spark, "nations")
+    half = n.where("n_nationkey < 10")
+    half.withColumn("kind", F.lit("half")).write.partitionBy("kind").parquet(path)
+    n.where("n_nationkey >= 3").withColumn("kind", F.lit("whole")).write.mode("append").partitionBy("kind").parquet(path)
+    n.withColumn("kind", F.lit("whole")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind").parquet(path)
+    rows = spark.read.schema("n_regionkey long, n_nationkey long, kind string").parquet(path)
+    return rows.groupBy((F.col("n_regionkey") + F.when(F.col("kind") == "whole", 100).otherwise(0)).alias("n_regionkey")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT range AS id, range % 3 AS k FROM range(0, 100)")
@@ -169,6 +212,37 @@ def w17_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT d.id, d.doubled FROM stagelens_region, LATERAL stagelens_double(r_regionkey) d")
 
 
+@query("SELECT c_nationkey, count(*) AS n, max(c_custkey) AS last FROM customer GROUP BY 1")
+def w17_grouped_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def one(key: tuple, rows: pa.Table) -> pa.Table:
+        return pa.table({"c_nationkey": pa.array([key[0].as_py()], pa.int64()), "n": [rows.num_rows], "last": pa.array([pc.max(rows["c_custkey"]).as_py()], pa.int64())})
+
+    customer = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long"), F.col("c_custkey").cast("long"))
+    return customer.groupBy("c_nationkey").applyInArrow(one, "c_nationkey long, n long, last long")
+
+
+@query("SELECT c_nationkey AS k, c.n AS customers, s.n AS suppliers FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) c JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) s ON c_nationkey = s_nationkey")
+def w17_cogrouped_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def one(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        both = a.num_rows and b.num_rows
+        return pa.table({"k": pa.array([key[0].as_py()] if both else [], pa.int64()), "customers": pa.array([a.num_rows] if both else [], pa.int64()), "suppliers": pa.array([b.num_rows] if both else [], pa.int64())})
+
+    c = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("k"))
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("k"))
+    return c.groupBy("k").cogroup(s.groupBy("k")).applyInArrow(one, "k long, customers long, suppliers long")
+
+
+@query("SELECT r_regionkey AS id, r_regionkey * 2 AS doubled FROM region")
+def w17_arrow_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.udtf(returnType="id int, doubled int", useArrow=True)
+    class Double:
+        def eval(self, id: int):
+            yield id, id * 2
+
+    region = _t(spark, sf_dir, "region").select("r_regionkey")
+    return region.lateralJoin(Double(F.col("r_regionkey").outer())).select("id", "doubled")
+
+
 @query(f"SELECT n_name, o_orderpriority, count(*) AS n, {rounded('avg(o_totalprice)', 2)} AS mean FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2")
 def w18_by_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(_t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))

@@ -58,8 +58,9 @@ def _placed(ids: list[int], depth: dict[int, int]) -> dict[int, tuple[int, int]]
     return out
 
 
-def plot_dag(dag: DataFrame, query_id: int | None = None, metric: str = "node_duration_minutes", dark: bool = False) -> str:
-    """HTML with one query's plan, the first one's unless it is named. One plan is brought to the driver."""
+def plot_dag(dag: DataFrame, query_id: int | None = None, metric: str = "node_duration_minutes", dark: bool = False, issues: list[dict] | None = None) -> str:
+    """HTML with one query's plan, the first one's unless it is named, and below it the findings that are given. One
+    plan is brought to the driver."""
     if query_id is None:
         query_id = dag.agg(F.min("query_id")).first()[0]
     one = dag.where(F.col("query_id") == query_id)
@@ -85,7 +86,14 @@ def plot_dag(dag: DataFrame, query_id: int | None = None, metric: str = "node_du
         )
     wide, tall = max((x(i) for i in nodes), default=0) + WIDTH + GAP, max((y(i) for i in nodes), default=0) + HEIGHT + GAP
     title = html.escape(next((n["query_header"] for n in nodes.values() if n["query_header"]), None) or f"Query {query_id}")
-    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{title}</title></head><body style="background:{paper};color:{ink};font-family:sans-serif"><h3>{title}</h3><svg width="{wide}" height="{tall}">{"".join(parts)}</svg></body></html>'
+    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{title}</title></head><body style="background:{paper};color:{ink};font-family:sans-serif"><h3>{title}</h3><svg width="{wide}" height="{tall}">{"".join(parts)}</svg>{issues_panel(issues) if issues is not None else ""}</body></html>'
+
+
+def issues_panel(issues: list[dict]) -> str:
+    """Findings as a list, marked by their severity."""
+    mark = {"critical": "#c0392b", "warning": "#d68910"}
+    rows = "".join(f'<li style="border-left:4px solid {mark.get(i["severity"], "#888")};padding-left:8px;margin:4px 0"><b>{html.escape(i["category"])}</b> {html.escape(i["message"])}</li>' for i in issues)
+    return f'<h3>Issues ({len(issues)})</h3><ul style="list-style:none;padding:0">{rows}</ul>' if issues else "<h3>No issues</h3>"
 
 
 def _depths(ids: list[int], links: list[tuple[int, int]]) -> dict[int, int]:

@@ -1,6 +1,6 @@
 """Spark event logs as DataFrames: lines, then one table for each kind of event.
 
-Every table is lazy. A line keeps its place (part, block, row), by which events are ordered; plain files are split
+Lines are written once by event, and every table reads its own. A line keeps its place (part, block, row), by which events are ordered; plain files are split
 over tasks, and of rolling logs the parts count in their order.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas as S
+from .shared import new_folder
 
 START = "SparkListenerApplicationStart"
 
@@ -135,11 +136,27 @@ def driver_updates(rows: DataFrame) -> DataFrame:
     return each.select("log_name", "place", "pos", "query_id", F.col("u")[0].alias("accumulator_id"), F.col("u")[1].alias("update"))
 
 
+#: Events that the tables are made of.
+USED = (
+    "SparkListenerJobStart", "SparkListenerJobEnd", "SparkListenerStageSubmitted", "SparkListenerStageCompleted", "SparkListenerTaskEnd", "SparkListenerSQLExecutionStart", "SparkListenerSQLExecutionEnd",
+    "SparkListenerSQLAdaptiveExecutionUpdate", "SparkListenerDriverAccumUpdates",
+)
+
+
+def by_event(rows: DataFrame, folder: str) -> DataFrame:
+    """Writes the lines that the tables are made of to a folder, by event, and reads them from there: each table then
+    reads its own events and not the logs again, and places are those of the one scan that wrote them."""
+    rows.where(F.col("event").isin(*USED)).write.partitionBy("event").parquet(folder)
+    spark = rows.sparkSession
+    return spark.read.schema(rows.schema).parquet(folder).select(*rows.columns)
+
+
 def read(spark: SparkSession, path: str | list[str], strict: bool = False, fallback: bool = False) -> EventTables:
-    """All tables of the logs at a path. Raises ValueError where nothing starts an application."""
+    """All tables of the logs at a path. Raises ValueError where nothing starts an application. The logs are read
+    twice, for their starts and to write their lines by event; every table reads what was written."""
     every = lines(spark, path)
     require_start(every)
-    rows = after_start(every)
+    rows = by_event(after_start(every), new_folder(spark, "events"))
     return EventTables(jobs(rows), stages(rows), tasks(rows), queries(rows, strict), plans(rows, fallback), driver_updates(rows))
 
 

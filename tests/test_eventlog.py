@@ -4,7 +4,7 @@ import sys
 
 import pytest
 from pyspark.sql import functions as F
-from stagelens import api, render
+from stagelens import api, cli, render
 from stagelens.operators import detect, history
 from stagelens.sources import eventlog as E
 from stagelens.sources import sinks, storage
@@ -130,3 +130,68 @@ def test_local_files(tmp_path):
     assert storage.join_path("s3://b/", "c", "d") == "s3://b/c/d" and storage.resolve_dir("x", "/base") == "/base/x"
     storage.remove_dir(str(tmp_path / "d"))
     assert not storage.path_exists(p)
+
+
+def test_lines_are_written_once_by_event(spark, log):
+    t = E.read(spark, E.latest(spark, str(log[0])))
+    plan = t.tasks._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert "FileScan parquet" in plan and "FileScan text" not in plan and "PartitionFilters: [" in plan and "SparkListenerTaskEnd" in plan
+    assert t.tasks.count() > 0
+
+
+@pytest.fixture()
+def command(spark, monkeypatch, capsys):
+    def run(*arguments):
+        monkeypatch.setattr(cli, "_spark", lambda: spark)
+        code = cli.main([str(a) for a in arguments])
+        return code, capsys.readouterr().out
+
+    return run
+
+
+def test_get_writes_both_relations(spark, command, log, tmp_path):
+    code, out = command("get", log[0], "--out-dir", tmp_path, "--out-name", "mine", "--out-format", "parquet")
+    name = out.strip().splitlines()[-1]
+    written = [p for p in tmp_path.rglob("*") if p.is_dir() and name in p.name]
+    assert code == 0 and "mine" in name and len(written) == 2
+
+
+def test_analyze_prints_the_summary_and_the_issues(command, log):
+    code, out = command("analyze", log[0])
+    summary = json.loads(out)
+    assert code == 0 and {"log_name", "queries", "totals", "issues"} == set(summary)
+    assert {"Row Count Explosion", "Cartesian Join"} <= {i["category"] for i in summary["issues"]}
+    _, text = command("analyze", log[0], "--format", "text")
+    assert "Totals" in text and "critical: Row Count Explosion: Inner join of" in text and "without join keys" in text
+
+
+def test_viz_writes_a_page_with_the_issues(command, log, tmp_path):
+    code, _ = command("viz", log[0], "--out-file", tmp_path / "p.html", "--dark")
+    page = (tmp_path / "p.html").read_text()
+    assert code == 0 and "<svg" in page and "Issues (" in page and "Row Count Explosion" in page
+
+
+def test_history_and_alerts(spark, command, relations, tmp_path):
+    path, rules, out_file = str(tmp_path / "runs"), tmp_path / "rules.toml", tmp_path / "alerts.jsonl"
+    assert command("check-alerts", path, rules)[0] == 1  # no history yet
+    for _ in range(2):
+        history.append(history.run_record(relations.dag, relations.combined, "x"), path)
+    code, out = command("history", path, "--format", "json", "--last-n", 1)
+    assert code == 0 and len(json.loads(out)) == 1 and json.loads(out)[0]["log_name"] == "x"
+    assert "tasks" in command("history", path)[1]
+    rules.write_text(RULES)
+    code, out = command("check-alerts", path, rules, "--alert-output", out_file)
+    assert code == 0 and "many tasks" in out and "many tasks" in out_file.read_text()
+    assert command("check-alerts", path, rules)[0] == 0  # a file alert without a path is logged, and no more
+
+
+RULES = """
+[[alerts]]
+name = "many tasks"
+log_name = "x"
+metric = "n_tasks"
+condition = "threshold"
+threshold = 0
+severity = "warning"
+on_trigger = "file"
+"""

@@ -199,7 +199,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     # Full sets of the documents that share a bucket. A bucket's lead is the member with the most company.
     asked = entries.groupBy("doc").agg(F.sum("many").alias("reach"))
-    sets = own.join(asked.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets, "doc long, digest binary, grams array<long>")
+    # Documents in buckets grow with the corpus, so they are merged with the texts at every size, and sent nowhere.
+    sets = own.join(asked.select(F.col("doc").alias("doc_id")).hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "doc long, digest binary, grams array<long>")
     sets = stored(sets.groupBy("doc").agg(F.min_by("grams", "digest").alias("grams")), "sets")
     lead = entries.join(asked, "doc").groupBy("band", "value").agg(F.max(F.struct("reach", (-F.col("doc")).alias("minus"))).alias("best"), F.count("*").alias("members"))
     lead = lead.select("band", "value", (-F.col("best.minus")).alias("lead"), "members")

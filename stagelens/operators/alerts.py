@@ -35,6 +35,7 @@ class AlertRule:
     def __post_init__(self) -> None:
         if self.condition not in CONDITIONS:
             raise ValueError(f"Unknown condition: {self.condition}")
+        self.threshold = float(self.threshold)  # a rule's file may give a whole number
 
 
 class AlertError(Exception):

@@ -161,10 +161,18 @@ def _pairs_beyond_lead(member: DataFrame, sets: DataFrame, level: Level) -> Data
     live = extra.groupBy("lead", "gram").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("have")).where("low <> high").select("lead", "gram", "have")
     x, y = _sides(salted_join(extra, live, ["lead", "gram"], "doc", "have"), "gram")
     pairs = x.join(y, ["lead", "gram"]).where(f"{_ONCE} and {level.sizes}")
-    pairs = pairs.groupBy("lead", "doc_x", "doc_y").agg(F.count("*").alias("k"), *(F.first(c).alias(c) for c in ("n_x", "n_y", "d_x", "d_y")))
+    pairs = pairs.groupBy("lead", "doc_x", "doc_y").agg(F.count("*").alias("k"), *(F.min(c).alias(c) for c in ("n_x", "n_y")), *(F.max(c).alias(c) for c in ("d_x", "d_y")))
     return pairs.where(f"least(d_x, d_y) + k >= {level.share} * (n_x + n_y)").select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b"))
 
 
+def _of_one_id(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of a doc_id's different texts; few ids have several."""
+    ids = signed.where("digest is not null and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high")
+    several = signed.join(stored(ids.select("doc_id"), "ids"), "doc_id").select("doc_id", "digest").join(classes.select("digest", "doc"), "digest")
+    first = several.groupBy("doc_id").agg(F.min("doc").alias("b"))
+    return several.join(first, "doc_id").where("doc <> b").select(F.col("doc").alias("a"), "b")
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of docs whose doc_id is their component's, with their columns as they are. Rows without shingles
     stay, as do all rows of a doc_id that is kept, and rows with a null id."""
@@ -181,8 +189,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     words, none without words); component_id the smallest doc_id that links reach; kept tells whether it is the
     row's own. Null and empty texts, and texts of white space, have no shingles and are linked with nothing.
     Equal sets are one class, however many there are. Rows that repeat a doc_id with one text all stay kept if
-    that id is its component's; a doc_id with several texts is one node, compared by
-    that of its texts whose set has the smallest digest, however the rows are dealt. A null doc_id links with nothing
+    that id is its component's; a doc_id with several texts is one document that has
+    the links of each of them, so pairs of an id are compared by each pair of their texts. A null doc_id links with nothing
     and is kept. Extra columns aren't read. A task holds a single text whole, with about 20 bytes a byte of it.
     """
     level = Level(percent)
@@ -201,12 +209,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     asked = entries.groupBy("doc").agg(F.sum("many").alias("reach"))
     # Documents in buckets grow with the corpus, so they are merged with the texts at every size, and sent nowhere.
     sets = own.join(asked.select(F.col("doc").alias("doc_id")).hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "doc long, digest binary, grams array<long>")
-    sets = stored(sets.groupBy("doc").agg(F.min_by("grams", "digest").alias("grams")), "sets")
+    sets = stored(sets.groupBy("doc", "digest").agg(F.first("grams").alias("grams")).drop("digest"), "sets")
     lead = entries.join(asked, "doc").groupBy("band", "value").agg(F.max(F.struct("reach", (-F.col("doc")).alias("minus"))).alias("best"), F.count("*").alias("members"))
     lead = lead.select("band", "value", (-F.col("best.minus")).alias("lead"), "members")
     pairs = salted_join(entries.drop("many"), lead, ["band", "value"], "doc", "members", entries.count()).where("doc <> lead").select(F.col("doc").alias("a"), F.col("lead").alias("b")).distinct()
     checked = stored(_shared(pairs, sets), "checked")
-    known = stored(components(checked.where(level.similar)), "known")
+    known = stored(components(checked.where(level.similar).select("a", "b").unionByName(_of_one_id(signed, classes))), "known")
 
     # Members of other classes than their lead's, against members of other classes than their own.
     of = lambda node, name: known.select(F.col("node").alias(node), F.col("component").alias(name))

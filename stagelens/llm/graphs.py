@@ -27,6 +27,20 @@ def salted_join(many: DataFrame, one: DataFrame, keys: list[str], by: str, count
     return many.join(one, [*keys, "__salt"], how).drop("__salt")
 
 
+def dealt_join(x: DataFrame, y: DataFrame, keys: list[str], by: str, count: str, total: int) -> DataFrame:
+    """Joins x with y, several rows a key on both sides, where a key may hold any share of them.
+
+    Both sides carry `count`, at least the number of the key's rows in x, and total is at least all of x's. A key's
+    rows in x are dealt by their column `by` over as many parts as they hold quarters of an even task's rows; its rows
+    in y are copied to each part.
+    """
+    tasks = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = F.greatest(F.ceil(F.col(count) / max(total // (4 * tasks), 1)).cast("int"), F.lit(1))
+    x = x.withColumn("__salt", F.pmod(F.xxhash64(by), parts).cast("int")).drop(count)
+    y = y.withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop(count)
+    return x.join(y, [*keys, "__salt"]).drop("__salt")
+
+
 def _smallest(edges: DataFrame) -> DataFrame:
     """For each node u of (u, v) the smaller of u and its smallest neighbour, and the number of its neighbours."""
     return edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("links"))

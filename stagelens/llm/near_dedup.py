@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import blocks, stored, utf8
-from .graphs import components, salted_join
+from .graphs import components, dealt_join, salted_join
 from .shingles import mix, shingle_sets
 
 WORDS = 5
@@ -144,23 +144,25 @@ def _sides(rows: DataFrame, *also: str) -> tuple[DataFrame, DataFrame]:
 _ONCE = "class_x <> class_y and (class_y = main or doc_x < doc_y)"
 
 
-def _pairs_within_lead(member: DataFrame, level: Level) -> DataFrame:
+def _pairs_within_lead(member: DataFrame, level: Level, total: int) -> DataFrame:
     """Pairs whose shares of the lead alone allow a link. As the first isn't linked with the lead, the second must
     be smaller than the lead; few are."""
-    least = member.groupBy("lead").agg(F.min("n").alias("least"))
-    x, y = _sides(member.join(least, "lead").where(f"d >= {level.share} * (n + least) and (class <> main or n < nb)"))
-    return x.join(y, "lead").where(f"{_ONCE} and {level.sizes} and least(d_x, d_y) >= {level.share} * (n_x + n_y)").select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b"))
+    x, y = _sides(member.where(f"d >= {level.share} * (n + least) and (class <> main or n < nb)"), "many")
+    pairs = dealt_join(x, y, ["lead"], "doc_x", "many", total)
+    return pairs.where(f"{_ONCE} and {level.sizes} and least(d_x, d_y) >= {level.share} * (n_x + n_y)").select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b"))
 
 
-def _pairs_beyond_lead(member: DataFrame, sets: DataFrame, level: Level) -> DataFrame:
+def _pairs_beyond_lead(member: DataFrame, leads: DataFrame, sets: DataFrame, level: Level, total: int) -> DataFrame:
     """Pairs that have shingles outside the lead in common, as many as a link needs beside their shares of it."""
     own = sets.select("doc", F.col("grams").alias("mine"))
-    its = sets.select(F.col("doc").alias("lead"), F.col("grams").alias("its"))
-    extra = member.join(own, "doc").join(its, "lead").select("lead", "doc", "n", "d", "class", "main", F.explode(F.array_except("mine", "its")).alias("gram"))
+    its = sets.select(F.col("doc").alias("lead"), F.col("grams").alias("its")).join(leads.select("lead", "many"), "lead")
+    extra = salted_join(member.drop("many").join(own, "doc"), its, ["lead"], "doc", "many", total)
+    extra = extra.select("lead", "doc", "n", "d", "class", "main", F.explode(F.array_except("mine", "its")).alias("gram"))
     extra = stored(extra, "extra")
+    every = extra.count()
     live = extra.groupBy("lead", "gram").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("have")).where("low <> high").select("lead", "gram", "have")
-    x, y = _sides(salted_join(extra, live, ["lead", "gram"], "doc", "have"), "gram")
-    pairs = x.join(y, ["lead", "gram"]).where(f"{_ONCE} and {level.sizes}")
+    x, y = _sides(salted_join(extra, live, ["lead", "gram"], "doc", "have"), "gram", "have")
+    pairs = dealt_join(x, y, ["lead", "gram"], "doc_x", "have", every).where(f"{_ONCE} and {level.sizes}")
     pairs = pairs.groupBy("lead", "doc_x", "doc_y").agg(F.count("*").alias("k"), *(F.min(c).alias(c) for c in ("n_x", "n_y")), *(F.max(c).alias(c) for c in ("d_x", "d_y")))
     return pairs.where(f"least(d_x, d_y) + k >= {level.share} * (n_x + n_y)").select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b"))
 
@@ -220,9 +222,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     of = lambda node, name: known.select(F.col("node").alias(node), F.col("component").alias(name))
     member = checked.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left")
     member = member.select(F.col("b").alias("lead"), "nb", F.col("a").alias("doc"), F.col("na").alias("n"), "d", F.coalesce("ca", "a").alias("class"), F.coalesce("cb", "b").alias("main"))
-    apart = member.where("class <> main").groupBy("lead").agg(F.min("n").alias("__n"))
-    member = stored(member.join(apart, "lead", "left_semi"), "member")
-    rest = _pairs_within_lead(member, level).unionByName(_pairs_beyond_lead(member, sets, level)).distinct()
+    leads = member.groupBy("lead").agg(F.count("*").alias("many"), F.min("n").alias("least"), F.count_if(F.expr("class <> main")).alias("apart"))
+    leads = stored(leads.where("apart > 0").drop("apart"), "leads")
+    # A lead's row is copied to each part of its members, which keep `many` and `least`.
+    member = stored(salted_join(member, leads, ["lead"], "doc", "many"), "member")
+    total = member.count()
+    rest = _pairs_within_lead(member, level, total).unionByName(_pairs_beyond_lead(member, leads, sets, level, total)).distinct()
     more = _shared(stored(rest, "rest"), sets).where(level.similar).select("a", "b")
     every = more.unionByName(known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
     found = components(every)

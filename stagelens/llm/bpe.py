@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._common import blocks, utf8
+from ._common import blocks, tidy, utf8
 from .shingles import span_hashes
 
 #: Rows of more bytes than this would cost their length squared in a matrix; a heap merges them in the same order.
@@ -36,7 +36,7 @@ _MAY_BE_SPACE = np.zeros(256, bool)
 _MAY_BE_SPACE[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 NONE = np.int32(2**31 - 1)
 #: Bytes of text that are encoded at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Kinds of bytes: space, letter (with the Latin-1 letters beyond ASCII), digit, mark; ODD for all others.
 SPACE, LETTER, DIGIT, MARK, ODD = range(5)
 _KIND = np.full(256, ODD, np.uint8)
@@ -311,7 +311,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "n_tokens", "ids_sha256"])
 
     own = docs.selectExpr(f"cast(`{doc_id}` as long) as doc_id", f"`{text}` as text")
-    return own.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, ids_sha256 string")
+    return own.mapInArrow(tidy(run), "doc_id long, ids array<int>, n_tokens long, ids_sha256 string")
 
 
 def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:

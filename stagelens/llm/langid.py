@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import blocks, utf8
+from ._common import blocks, tidy, utf8
 
 BUCKET_BITS, DIMENSIONS, GRAMS = 14, 12, (2, 3, 4)
 #: Labelled rows to learn from: about SAMPLE in all, shared evenly by languages, but EACH of a language at least (or
@@ -182,7 +182,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     share = {r["lang"]: min(1.0, max(EACH, sample / len(counts)) / r["count"]) for r in counts}
     part = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col(lang)]
     some = rows.where(F.pmod(F.xxhash64(doc_id, text), F.lit(1 << 20)) < part * (1 << 20)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    got = some.mapInArrow(_histograms, "lang string, at array<int>, counts array<int>").toArrow().combine_chunks()
+    got = some.mapInArrow(tidy(_histograms), "lang string, at array<int>, counts array<int>").toArrow().combine_chunks()
     labels = got["lang"].to_pylist()
     at, counts = (got[c].combine_chunks() if isinstance(got[c], pa.ChunkedArray) else got[c] for c in ("at", "counts"))
     ends, at, counts = at.offsets.to_numpy(), at.values.to_numpy(), counts.values.to_numpy().astype(np.float32)
@@ -227,7 +227,7 @@ def predict(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).alias("text"))
-    return own.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return own.mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def accepted(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -242,4 +242,4 @@ def accepted(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
             names, scores = _predicted(batch.column(batch.schema.names.index(text)), own)
             yield batch.filter(pa.array([n != UNKNOWN and bool(s >= own.threshold) for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

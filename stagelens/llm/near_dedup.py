@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import blocks, stored, utf8
+from ._common import blocks, stored, tidy, utf8
 from .graphs import components, dealt_join, salted_join
 from .shingles import mix, shingle_sets
 
@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     level = Level(percent)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = stored(own.mapInArrow(_signed(level), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signed")
+    signed = stored(own.mapInArrow(tidy(_signed(level)), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signed")
 
     # Equal sets: one representative, the smallest doc_id.
     classes = signed.where("digest is not null and doc_id is not null").groupBy("digest")
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # Full sets of the documents that share a bucket. A bucket's lead is the member with the most company.
     asked = entries.groupBy("doc").agg(F.sum("many").alias("reach"))
     # Documents in buckets grow with the corpus, so they are merged with the texts at every size, and sent nowhere.
-    sets = own.join(asked.select(F.col("doc").alias("doc_id")).hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "doc long, digest binary, grams array<long>")
+    sets = own.join(asked.select(F.col("doc").alias("doc_id")).hint("merge"), "doc_id", "left_semi").mapInArrow(tidy(_sets), "doc long, digest binary, grams array<long>")
     sets = stored(sets.groupBy("doc", "digest").agg(F.first("grams").alias("grams")).drop("digest"), "sets")
     lead = entries.join(asked, "doc").groupBy("band", "value").agg(F.max(F.struct("reach", (-F.col("doc")).alias("minus"))).alias("best"), F.count("*").alias("members"))
     lead = lead.select("band", "value", (-F.col("best.minus")).alias("lead"), "members")

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import tidy
 from .boosting import Boosted, isotonic
 
 BASE = ("email", "ip", "card", "phone")
@@ -281,4 +282,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
                 columns[at] = new
                 yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

@@ -1,9 +1,10 @@
+import os
 import re
 
 import corpus_pipeline as C
 import public_tokenizers
 import tiktoken
-from stagelens.llm import bpe, near_dedup, pii
+from stagelens.llm import _common, bpe, near_dedup, pii
 from stagelens.llm._common import table
 
 
@@ -56,3 +57,36 @@ def test_odd_documents(spark, tmp_path):
         # "the cat" is a whole item of the benchmark, and rows of one id go together; texts without a letter have no language.
         assert stage(spark, docs, str(tmp_path)).count() == {"language": 2, "decontaminate": 1}.get(name, 4), name
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_kernels_give_memory_back(spark, tmp_path, monkeypatch):
+    """At the end of a partition each kernel of the pipeline returns what its worker holds without use."""
+    docs = spark.createDataFrame([(i, f"some words of text number {i}", "en", "", 1) for i in range(4)], "doc_id long, text string, lang string, source string, n_chars long")
+    kernels, whole = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a, **b: kernels.append(f) or whole(self, f, *a, **b))
+    for name, stage in C.STAGES:
+        if name != "decontaminate":  # has no kernel
+            before = len(kernels)
+            stage(spark, docs, str(tmp_path))
+            assert len(kernels) > before, name
+    calls = []
+    monkeypatch.setattr(_common, "give_back", lambda: calls.append(1))
+    for n, kernel in enumerate(kernels, 1):
+        assert not list(kernel(iter([]))) and len(calls) == n
+
+
+def test_freed_memory_goes_back_to_the_system():
+    def held():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+
+    last = []
+
+    def run(batches):
+        some = [bytearray(1000) for _ in range(100_000)]
+        last.append(some[-1])  # the heap's end stays in use, so free() alone returns nothing
+        yield held()
+
+    before = held()
+    (peak,) = _common.tidy(run)(iter([]))
+    assert peak > before + 80 and held() < before + 40

@@ -69,9 +69,14 @@ def accumulator_long(plan: DataFrame, tasks: DataFrame, driver: DataFrame, keys:
     """A row a plan metric and task or driver update of it; metrics that nothing updated stay with nulls.
 
     plan: query_id, node_id, metric_name, accumulator_id, metric_type; tasks: stage_id, task_id, accumulator_id,
-    update, value; driver: query_id, accumulator_id, driver_update, driver_value.
+    update, value; driver: query_id, accumulator_id, driver_update, driver_value. The driver's side is joined before
+    rows multiply, and the tasks' rows are those that stream: a task holds the metrics of one accumulator at most.
     """
-    joined = plan.join(tasks, [*keys, "accumulator_id"], "left").join(driver, [*keys, "query_id", "accumulator_id"], "left")
+    metrics = plan.join(driver, [*keys, "query_id", "accumulator_id"], "left")
+    met = tasks.join(metrics, [*keys, "accumulator_id"])
+    unmet = metrics.join(tasks.select(*keys, "accumulator_id").distinct(), [*keys, "accumulator_id"], "left_anti")
+    order = [*keys, "query_id", "accumulator_id", *(c for c in (*plan.columns, *tasks.columns, *driver.columns) if c not in (*keys, "query_id", "accumulator_id"))]
+    joined = met.unionByName(unmet, allowMissingColumns=True).select(*order)
     return joined.withColumn("value", F.coalesce("value", "driver_value")).withColumn("update", F.coalesce("update", "driver_update")).drop("driver_value", "driver_update")
 
 

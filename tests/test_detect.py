@@ -64,6 +64,25 @@ def test_several_driver_updates_multiply_rows_and_the_total_is_the_largest(spark
     assert long.count() == 2 and T.metric_totals(long).first().value == 11.0
 
 
+def test_rows_are_not_shuffled_after_they_multiply(spark):
+    plan = spark.createDataFrame([("x", 1, n, "m", a, "sum") for n, a in ((1, 7), (2, 7), (3, 8), (4, 9), (5, None))], "log_name string, query_id long, node_id long, metric_name string, accumulator_id long, metric_type string")
+    tasks = spark.createDataFrame([("x", 0, 1, 7, 5, 5), ("x", 0, 2, 7, None, None), ("y", 0, 3, 9, 1, 1)], "log_name string, stage_id long, task_id long, accumulator_id long, update long, value long")
+    driver = spark.createDataFrame([("x", 1, 7, 3, 4), ("x", 1, 8, 6, 6)], "log_name string, query_id long, accumulator_id long, driver_update long, driver_value long")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        long = T.accumulator_long(plan, tasks, driver)
+        steps = long._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    join = next(k for k, x in enumerate(steps) if "SortMergeJoin" in x and "Inner" in x)
+    assert not any("Exchange" in x for x in steps[:join])
+    got = {(r.node_id, r.task_id, r.value, r.update) for r in long.collect()}
+    assert long.count() == 7 and got == {(1, 1, 5, 5), (1, 2, 4, 3), (2, 1, 5, 5), (2, 2, 4, 3), (3, None, 6, 6), (4, None, None, None), (5, None, None, None)}
+
+
 def test_median_of_averages_replaces_the_total_in_text_too(spark):
     totals = spark.createDataFrame([("x", 1, 1, 0, 0, 7, "avg size", "average", 9.0, "", 9.0, "", "9.0")], "log_name string, query_id long, node_id long, stage_id long, task_id long, accumulator_id long, metric_name string, metric_type string, value double, unit string, readable_value double, readable_unit string, readable_str string")
     medians = spark.createDataFrame([("x", 7, 4.25)], "log_name string, accumulator_id long, median_of_average_value double")

@@ -1,11 +1,13 @@
 import json
 import subprocess
 import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 from stagelens import api, cli, render
-from stagelens.operators import detect, history
+from stagelens.operators import detect, history, telemetry
+from stagelens.queries import own_log
 from stagelens.sources import eventlog as E
 from stagelens.sources import sinks, storage
 
@@ -139,6 +141,49 @@ def test_lines_are_written_once_by_event(spark, log):
     assert t.tasks.count() > 0
 
 
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tasks_are_written_as_columns(spark, log):
+    """JSON is parsed once, and neither lines nor keys are kept."""
+    t = E.read(spark, E.latest(spark, str(log[0])))
+    plan = optimized(t.tasks)
+    assert "from_json" not in plan and "value#" not in plan
+    rows = E.after_start(E.lines(spark, E.latest(spark, str(log[0]))))
+    key = lambda r: r.task_id
+    assert sorted(t.tasks.drop("place").collect(), key=key) == sorted(E.tasks(rows).drop("place").collect(), key=key)
+
+
+def test_tasks_meet_plans_without_a_shuffle(spark, log):
+    """The lists of a node's tasks are made only where they are asked for, and tasks are joined with small tables."""
+    r = api.relations(spark, E.latest(spark, str(log[0])))
+    assert "collect_list(struct(o" in optimized(r.dag) and optimized(r.dag.select("node_id", "n_accumulators")).count("collect_list(struct(o") == 0
+    steps = r.combined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in steps and "SortMergeJoin" not in steps
+    columns = ["log_name", "query_id", "stage_id", "task_id", "nodes"]
+    want = {(*x[:4], tuple(x[4])) for x in telemetry.task_nodes(r.dag).select(*columns).collect()}
+    got = [(*x[:4], tuple(x[4])) for x in r.combined.select(*columns).collect()]
+    assert want and set(got) == want and len(got) == len(want)
+
+
+def test_a_driver_update_counts_for_a_task_without_a_number(spark):
+    """As in the lists of dag: a null update of a task stands for its accumulator's update by the driver."""
+    made = "array(named_struct('accumulator_id', 7L, 'update', cast(null AS bigint)), named_struct('accumulator_id', 8L, 'update', cast(null AS bigint)), named_struct('accumulator_id', 9L, 'update', 1L))"
+    listed = "array(named_struct('node_id', 1L, 'node_name', 'a', 'accumulator_id', 7L, 'by_driver', true), named_struct('node_id', 2L, 'node_name', 'b', 'accumulator_id', 8L, 'by_driver', false), named_struct('node_id', 3L, 'node_name', 'c', 'accumulator_id', 9L, 'by_driver', false))"
+    assert spark.sql(f"SELECT {made} AS accumulators, {listed} AS metrics").select(telemetry.ran_nodes().alias("n")).first().n == ["a", "c"]
+
+
+def test_own_logs_are_small_and_go_when_they_are_read(spark, sf_dir):
+    folder = own_log.written(spark, sf_dir).removeprefix("file://").removeprefix("file:")
+    parts = [p for p in Path(folder).rglob("part-*") if "events_2" in str(p)]
+    lines = spark.read.option("recursiveFileLookup", True).text(folder).count()
+    assert all(p.name.endswith(".gz") for p in parts) and sum(p.stat().st_size for p in parts) < 80 * lines
+    before = set(Path(folder).parent.glob("own-log-*"))
+    assert own_log.log_events(spark, sf_dir).count() == 12
+    assert set(Path(folder).parent.glob("own-log-*")) == before
+
+
 @pytest.fixture()
 def command(spark, monkeypatch, capsys):
     def run(*arguments):
